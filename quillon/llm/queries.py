@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
+from .huffman import round_trip
+from .packing import pack
 from .simhash import near_duplicates
 
 
@@ -11,6 +15,16 @@ def op1_simhash(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op4_packing(spark, sf_dir):
+    """All documents' tokens packed into sequences of 2048."""
+    return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_ids(spark, sf_dir):
+    """All documents' ids, written in the block format and read back."""
+    return round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op7_token_ids": op7_token_ids}
 
 SQL: dict[str, str] = {}
