@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from .common import table
+from .common import Scratch, table
 from .huffman import round_trip
+from .linededup import dedup_lines
 from .packing import pack
+from .secrets import BASE, MORE, Ledger, scan_documents
 from .simhash import near_duplicates
 
 
@@ -25,6 +27,59 @@ def op7_token_ids(spark, sf_dir):
     return round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op7_token_ids": op7_token_ids}
+def op5_secrets(spark, sf_dir):
+    """Secrets of all documents, found through a ledger that is empty at first."""
+    return scan_documents(spark, table(spark, sf_dir, "documents"), Ledger(spark, f"{Scratch(spark, 'ledger').root}/ledger"))
 
-SQL: dict[str, str] = {}
+
+def op10_line_dedup(spark, sf_dir):
+    """All documents without later occurrences of three-line windows."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op7_token_ids": op7_token_ids, "op10_line_dedup": op10_line_dedup}
+
+
+# ---------------------------------------------------------------- SQL
+
+_EITHER = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """Gaps between matches and running sums, as in the operator; letters in either case are spelt out for RE2."""
+    spans = []
+    for no, r in enumerate(BASE + MORE):
+        p = r.pattern
+        if r.kind == "assign":
+            words = "|".join(map(_EITHER, ("password", "passwd", "secret", "token", "api_?key")))
+            p = p.replace("(?i:(password|passwd|secret|token|api_?key))", f"({words})")
+        q = _quoted(p)
+        spans.append(f"""
+            select doc_id, {no} as no, '{r.kind}' as kind, e - length(m) as s, e from (
+                select *, sum(length(g) + length(m)) over (partition by doc_id order by k) as e from (
+                    select doc_id, unnest(string_split_regex(t, {q})[:len(regexp_extract_all(t, {q}))]) as g, unnest(regexp_extract_all(t, {q})) as m,
+                        unnest(regexp_extract_all(t, {q}, {r.group})) as c, unnest(range(len(regexp_extract_all(t, {q})))) as k from d where regexp_matches(t, {q})))
+            where length(c) >= {r.least}""")
+    base = len(BASE)
+    counts = ", ".join(f"count(*) filter (no = {k}) as n_{r.kind}" for k, r in enumerate(BASE))
+    return f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents), spans as ({" union all ".join(spans)}),
+        f as (select doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, no) filter (no < {base}), '')) as base_sha256,
+            string_agg(kind || ':' || s || ':' || e, ',' order by s, no) as spans from spans group by doc_id)
+        select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans, sha256(t) as blob
+        from d left join f using (doc_id)"""
+
+
+_LINES_SQL = """
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as p from documents),
+    w as (select *, x || chr(10) || lead(x) over o || chr(10) || lead(x, 2) over o as win from l window o as (partition by doc_id order by p)),
+    r as (select doc_id, p, row_number() over (partition by win order by doc_id, p) > 1 and trim(translate(win, chr(10), '')) <> '' and win is not null as later from w),
+    c as (select l.doc_id, l.p, l.x, bool_or(r.later) as gone from l join r on r.doc_id = l.doc_id and r.p between l.p - 2 and l.p group by all)
+    select doc_id, coalesce(string_agg(x, chr(10) order by p) filter (not gone), '') as text, count(*)::int as n_lines, (count(*) filter (gone))::int as n_removed from c group by doc_id
+    union all select doc_id, null, 0, 0 from documents where text is null"""
+
+SQL = {"op5_secrets": _secrets_sql(), "op10_line_dedup": _LINES_SQL}
