@@ -75,18 +75,48 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
+#: Classes of bytes for words_of: ASCII white space and the rest.
+SPACE = np.ones(256, np.uint8)
+SPACE[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after the other, and the n + 1 offsets of the texts in them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.buffers()[2] is None:
+        return np.zeros(0, np.uint8), offsets - offsets[0]
+    return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The runs of bytes of one kind but 0, as dictionary index, dictionary, and each text's first run (n + 1 offsets).
+
+    start: where runs begin; else at each change of kind. A run never goes on into the next text.
+    """
+    if start is None:
+        start = changes(kind, offsets)
+    at = np.flatnonzero(start)
+    length, is_word = np.diff(at, append=len(data)), kind[at] != 0
+    ends = np.concatenate(([0], np.cumsum(length[is_word]))).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[kind != 0])))
+    found = words.dictionary_encode()
+    before = np.concatenate(([0], np.cumsum(is_word)))
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary, before[np.searchsorted(at, offsets)]
+
+
+def changes(kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the kind changes or a text begins."""
+    start = np.ones(len(kind), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[offsets[:-1][offsets[:-1] < len(kind)]] = True
+    return start
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words between ASCII white space: index of each word's form, the forms, and each row's first word (n + 1 offsets)."""
-    parts = pc.ascii_split_whitespace(texts)
-    offsets = parts.offsets.to_numpy()
-    flat = parts.flatten().dictionary_encode()
-    index, forms = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-    offsets = (offsets - offsets[0]).astype(np.int64)
-    if "" in forms[:1] or "" in forms:  # leading, trailing or only white space gives empty words
-        keep = index != forms.index("")
-        offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
-        index = index[keep]
-    return index, forms, offsets
+    """Words between ASCII white space: index of each word's form, the forms, and each text's first word (n + 1 offsets)."""
+    data, offsets = bytes_of(texts)
+    index, forms, first = runs_of(data, offsets, SPACE[data])
+    return index, forms.to_pylist(), first
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from .linededup import dedup_lines
 from .packing import pack
 from .secrets import BASE, MORE, Ledger, scan_documents
 from .simhash import near_duplicates
+from .sketch import compare_edited
 
 
 def op1_simhash(spark, sf_dir):
@@ -32,12 +33,17 @@ def op5_secrets(spark, sf_dir):
     return scan_documents(spark, table(spark, sf_dir, "documents"), Ledger(spark, f"{Scratch(spark, 'ledger').root}/ledger"))
 
 
+def op6_sketch(spark, sf_dir):
+    """Sketches of all documents, compared with edited texts and with next documents."""
+    return compare_edited(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     """All documents without later occurrences of three-line windows."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op7_token_ids": op7_token_ids, "op10_line_dedup": op10_line_dedup}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_packing, op5_secrets, op6_sketch, op7_token_ids, op10_line_dedup)}
 
 
 # ---------------------------------------------------------------- SQL
