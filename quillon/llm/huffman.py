@@ -17,12 +17,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, pieces_of, ragged, texts_of
+from .common import Scratch, arrow_map, ragged, texts_of
 from .wordbpe import WordEncoder
 
 MAGIC, VERSION = b"QHUF", 1
@@ -91,14 +90,18 @@ def encode(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, codes: np.ndarra
     base = (np.cumsum(size) - size) * 8
     at = upto[:-1] + np.repeat(base - upto[first], n)
     total = int(size.sum())
-    value = codes[ids] << (32 - wide - (at & 7))
-    out = np.zeros(total + 4, np.int64)
-    for k in range(4):
-        part = (value >> (24 - 8 * k)) & 255
-        out += np.bincount((at >> 3) + k, part, total + 4).astype(np.int64)
+    words = np.zeros(total // 4 + 3, np.uint64)
+    if len(ids):
+        # a code lies in two words of 32 bits; the codes that begin in one word are next to each other
+        value = codes[ids].astype(np.uint64) << (64 - wide - (at & 31)).astype(np.uint64)
+        word = at >> 5
+        new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        words[word[new]] = np.add.reduceat(value >> np.uint64(32), new)
+        words[word[new] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), new)
+    data = words.astype(">u4").view(np.uint8)[:total]
     marks = np.maximum(0, -(-n // STEP) - 1)
     where = np.repeat(first, marks) + (ragged(np.zeros(len(n), np.int64), marks) + 1) * STEP
-    return out[:total].astype(np.uint8), size, at[where] - np.repeat(base, marks), marks
+    return data, size, at[where] - np.repeat(base, marks), marks
 
 
 def decode(data: np.ndarray, at: np.ndarray, n: np.ndarray, table: tuple[np.ndarray, np.ndarray], limit: int) -> np.ndarray:
@@ -157,7 +160,11 @@ def from_block(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): each document's ids and the end id, as little-endian unsigned 32-bit numbers or, where they fit, 16-bit ones."""
+    """(doc_id, n, ids, counts): each document's ids and the end id, as little-endian unsigned numbers of 16 or 32 bits.
+
+    counts is set in the first row of some thousands: (id, how often they have it) pairs, so that counting the corpus
+    reads this column alone.
+    """
 
     def each(batch):
         encoder = WordEncoder.load(tokenizer)
@@ -169,9 +176,12 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         whole[ragged(ends - n, n - 1)] = ids
         at = np.concatenate(([0], ends)).astype(np.int64) * whole.itemsize
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(whole)])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "n", "ids"])
+        counts = np.bincount(whole)
+        used = np.flatnonzero(counts)
+        pairs = np.column_stack((used, counts[used])).astype("<u4").tobytes()
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), packed.cast(pa.binary()), pa.array([pairs] + [None] * (len(n) - 1), pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary")
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary, counts binary")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +198,14 @@ def global_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for piece in pieces_of(batch, "ids"):
-                counts += np.bincount(_ids(piece)[0], minlength=size)
+            for pairs in batch.column("counts").to_pylist():
+                pairs = np.frombuffer(pairs, "<u4").reshape(-1, 2)
+                counts[pairs[:, 0]] += pairs[:, 1]
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -239,7 +250,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
             yield close()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_docs = arrow_map(tokens, streams, "doc_id long, n long, marks binary, stream binary", text="ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "stream")
+    sorted_docs = arrow_map(tokens.drop("counts"), streams, "doc_id long, n long, marks binary, stream binary", text="ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "stream")
     sorted_docs.mapInArrow(blocks, "part long, block long, before long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     scratch.drop("tokens")
 

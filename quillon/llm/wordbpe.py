@@ -1,12 +1,13 @@
 """Ids of whole texts by a tokenizer of the tokenizers library that drops white space, through a dictionary of parts.
 
-Texts of plain characters are cut into the pre-tokenizer's parts by Arrow; the library encodes each distinct part once,
-many in one call, where end-of-word tokens say where a part ends. A text's ids are those of its parts, one after the
-other. The library encodes any other text as a whole.
+Texts of plain characters are cut into the pre-tokenizer's parts by the classes of their bytes; the library's model
+encodes each distinct part once. A text's ids are those of its parts, one after the other. The library encodes any
+other text as a whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
@@ -14,16 +15,49 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged, words_of
+from .common import bytes_of, changes, ragged, runs_of
 
 #: Distinct parts that a worker keeps between batches; beyond this it starts anew.
-KEPT_PARTS = 2_000_000
+KEPT_PARTS = 800_000
 #: White space, printable ASCII and Latin-1 letters: one code point is one letter, NFC and lower-casing act on each alone.
 PLAIN = r"^[\t\n\v\f\r -~À-ÖØ-öø-ÿ]*$"
-#: The pre-tokenizer's parts but for runs of letters, in its order.
-CUT = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s\pL\pN]+)"
-#: Fixed value: the pre-tokenizer that CUT restates.
+#: Fixed value: the pre-tokenizer that _cut restates.
 PRE_TOKENIZER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: the normalizer that plain characters need no more of than lower case.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+
+#: Classes of bytes in lower-cased plain text: 0 white space, 1 letters (all of two bytes are), 2 digits, 3 others.
+KIND = np.full(256, 3, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]], KIND[97:123], KIND[128:], KIND[48:58] = 0, 1, 1, 2
+
+
+#: The byte-level alphabet's spelling of Latin-1 letters: each byte of their UTF-8 as a character, 0x80-0xA0 and 0xAD
+#: moved up to 0x100 + k in the order of bytes without a spelling of their own (after 33 below 0x21 and at 0x7F).
+_MOVED = [*range(0x21), 0x7F, *range(0x80, 0xA1), 0xAD]
+ALPHABET = {c: "".join(chr(0x100 + _MOVED.index(b)) if b in _MOVED else chr(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The pre-tokenizer's parts of lower-cased plain texts."""
+    data, offsets = bytes_of(texts)
+    kind = KIND[data]
+    start = changes(kind, offsets)
+    start |= kind == 2
+    # an apostrophe alone, then letters: 's 't 'm 'd 're 've 'll are parts, and what follows is the next one
+    at = np.flatnonzero(data == ord("'"))
+    at = at[at + 1 < len(data)]
+    at = at[start[at] & start[at + 1] & (kind[at + 1] == 1)]
+    at = at[~np.isin(at + 1, offsets)]
+    if len(at):
+        one = data[at + 1]
+        goes_on = (at + 2 < len(data)) & ~start[np.minimum(at + 2, len(data) - 1)]
+        two = np.where(goes_on, data[np.minimum(at + 2, len(data) - 1)], 0)
+        single = np.isin(one, list(b"stmd"))
+        double = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        for size, some in ((1, at[single]), (2, at[double])):
+            start[some + 1] = False
+            start[(some + 1 + size)[some + 1 + size < len(data)]] = True
+    return runs_of(data, offsets, kind, start)
 
 
 class WordEncoder:
@@ -46,12 +80,11 @@ class WordEncoder:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         patterns = [x["pattern"].get("Regex") for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
-        self.by_parts = bool(suffix) and patterns == [PRE_TOKENIZER]
+        byte_level = any(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in spec["pre_tokenizer"].get("pretokenizers", []))
+        normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.by_parts = bool(suffix) and patterns == [PRE_TOKENIZER] and byte_level and normal == NORMALIZER
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = spec["model"]["vocab"]
-        self.size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self._empty()
 
@@ -76,26 +109,26 @@ class WordEncoder:
         self.used += len(ids)
 
     def _learn(self, parts: list[str]) -> None:
-        """Parts that the pre-tokenizer leaves whole; each ends with its only end-of-word token."""
-        for k in range(0, len(parts), 1000):
-            some = parts[k : k + 1000]
-            ids = np.array(self._library([" ".join(some)])[0], np.int32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self._store(some, ids, np.diff(cuts, prepend=0))
-            else:
-                each = self._library(some)
-                self._store(some, np.array([i for x in each for i in x], np.int32), np.array(list(map(len, each))))
+        """Parts that the pre-tokenizer leaves whole, spelt as the byte-level alphabet has them."""
+        model = self.tokenizer.model.tokenize
+        for k in range(0, len(parts), 50_000):
+            some = parts[k : k + 50_000]
+            ids = [[t.id for t in model(p if p.isascii() else p.translate(ALPHABET))] for p in some]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(some, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the number of each text."""
         if len(self.parts) > KEPT_PARTS:
             self._empty()
-        index, forms, offsets = words_of(pc.replace_substring_regex(pc.utf8_lower(texts), CUT, r" \1 "))
-        known = self.parts
-        if new := [w for w in forms if w not in known and w]:
-            self._learn(new)
-        at = np.fromiter((known.get(w, -1) for w in forms), np.int64, len(forms))[index]
+        index, forms, offsets = _cut(pc.utf8_lower(texts))
+        known, forms = self.parts.get, forms.to_pylist()
+        at = np.fromiter([known(w, -1) for w in forms], np.int64, len(forms))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.parts), len(self.parts) + len(new))
+            self._learn([forms[k] for k in new.tolist()])
+        at = at[index]
         lengths = self.length[at]
         ids = self.pool[ragged(self.start[at], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))
