@@ -11,6 +11,7 @@ from .packing import pack
 from .secrets import BASE, MORE, Ledger, scan_documents
 from .simhash import near_duplicates
 from .sketch import compare_edited
+from .toxicity import fit_labels, held_out, score_documents
 
 
 def op1_simhash(spark, sf_dir):
@@ -38,12 +39,20 @@ def op6_sketch(spark, sf_dir):
     return compare_edited(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    """All documents scored by a model that is fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_labels(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(spark, docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "n_sentences", "n_offending")
+
+
 def op10_line_dedup(spark, sf_dir):
     """All documents without later occurrences of three-line windows."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_packing, op5_secrets, op6_sketch, op7_token_ids, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_packing, op5_secrets, op6_sketch, op7_token_ids, op8_toxicity, op10_line_dedup)}
 
 
 # ---------------------------------------------------------------- SQL
