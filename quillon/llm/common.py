@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -164,6 +165,68 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+class Known:
+    """Ids of words that were met before, in one array; beyond `most` words it starts anew."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _put(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.place)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while n + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(words)] = lengths
+        self.place.update(zip(words, range(n, n + len(words))))
+        self.used += len(ids)
+
+    def ids(self, index: np.ndarray, forms: list[str], learn: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words forms[index], one after the other, and the number of each; learn has those of a new word."""
+        if len(self.place) > self.most:
+            self.clear()
+        known = self.place.get
+        at = np.fromiter([known(w, -1) for w in forms], np.int64, len(forms))
+        new = np.flatnonzero(at < 0)
+        at[new] = np.arange(len(self.place), len(self.place) + len(new))
+        for k in range(0, len(new), 50_000):
+            some = [forms[i] for i in new[k : k + 50_000].tolist()]
+            ids = [learn(w) for w in some]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._put(some, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
+        at = at[index]
+        lengths = self.length[at]
+        return self.pool[ragged(self.start[at], lengths)], lengths
+
+
+# ---------------------------------------------------------------- order by doc_id
+
+#: Stands for a missing doc_id: it comes first.
+LEAST = -(1 << 63)
+#: Rows of a bucket of neighbouring doc_ids, and the most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+
+
+def id_bounds(docs: DataFrame) -> np.ndarray:
+    """Ascending lower bounds that cut doc_ids into about even buckets, at most MOST_BUCKETS; reads doc_id alone."""
+    buckets = int(min(MOST_BUCKETS, max(1, docs.count() // BUCKET_ROWS)))
+    cuts = docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
+    return np.unique(np.array(cuts or [], np.int64))
+
+
+def bucket_of(doc_ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The bucket of each doc_id, 0 and up in ascending order."""
+    return np.searchsorted(bounds, pc.fill_null(doc_ids.cast(pa.int64()), LEAST).to_numpy(zero_copy_only=False), "right")
+
+
 # ---------------------------------------------------------------- blocks of pairs
 
 

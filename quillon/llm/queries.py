@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import capfilter, piecewise, urlfilter
 from .common import Scratch, table
 from .huffman import round_trip
 from .linededup import dedup_lines
@@ -19,6 +20,17 @@ def op1_simhash(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark, sf_dir):
+    """Verdicts on all pages; the list is that of canonical URLs that were reached through a feed."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.feed_list(pages))
+
+
+def op3_embeddings(spark, sf_dir):
+    """Near-duplicate components of all embeddings at a cosine of 0.95 or more."""
+    return capfilter.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark, sf_dir):
     """All documents' tokens packed into sequences of 2048."""
     return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -47,12 +59,17 @@ def op8_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "n_sentences", "n_offending")
 
 
+def op9_pieces(spark, sf_dir):
+    """All documents encoded to pieces and decoded again."""
+    return piecewise.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_line_dedup(spark, sf_dir):
     """All documents without later occurrences of three-line windows."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_packing, op5_secrets, op6_sketch, op7_token_ids, op8_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filters, op3_embeddings, op4_packing, op5_secrets, op6_sketch, op7_token_ids, op8_toxicity, op9_pieces, op10_line_dedup)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -97,4 +114,15 @@ _LINES_SQL = """
     select doc_id, coalesce(string_agg(x, chr(10) order by p) filter (not gone), '') as text, count(*)::int as n_lines, (count(*) filter (gone))::int as n_removed from c group by doc_id
     union all select doc_id, null, 0, 0 from documents where text is null"""
 
-SQL = {"op5_secrets": _secrets_sql(), "op10_line_dedup": _LINES_SQL}
+_URL_SQL = r"""
+    with u as (select page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+    k as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') as key from u),
+    l as (select distinct key from k where url like '%utm_source=feed%' and key <> ''),
+    r(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    j as (select k.*, (select max_by(h || p || ' ' || verdict, length(h || p)) from r where (k.host = h or ends_with(k.host, '.' || h)) and starts_with(k.path, p)) as best from k)
+    select page_id, host, path, split_part(best, ' ', 1) as rule, case when best is not null then split_part(best, ' ', 2) when l.key is not null then 'block' else 'allow' end as verdict,
+        best is null and l.key is not null as listed
+    from j left join l on j.key = l.key"""
+
+SQL = {"op2_url_filters": _URL_SQL, "op5_secrets": _secrets_sql(), "op10_line_dedup": _LINES_SQL}

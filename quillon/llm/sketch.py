@@ -11,20 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_BLOCK, texts_of, words_of
+from .common import LEAST, TEXT_BLOCK, id_bounds, texts_of, words_of
 
 #: Words of a shingle, and the share 1 / SCALE of the hash range that a sketch keeps.
 WIDTH, SCALE = 5, 8
 #: Distinct words whose hashes a worker keeps between batches.
 KEPT_WORDS = 2_000_000
-#: Rows of a bucket of documents that are next to each other, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
 #: Odd multipliers of the shingle hash and its finalizer.
 ROLL, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-#: Stands for a missing doc_id.
-LEAST = -(1 << 63)
-
 _words: dict[str, int] = {}
 
 
@@ -113,10 +108,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _edges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of buckets of doc_ids, and (bucket, largest doc_id) of those with rows; at most MOST_BUCKETS."""
-    buckets = int(min(MOST_BUCKETS, max(1, docs.count() // BUCKET_ROWS)))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
-    lows = np.unique(np.array(cuts or [], np.int64))
+    """Lower bounds of buckets of doc_ids, and (bucket, largest doc_id) of those with rows."""
+    lows = id_bounds(docs)
     most = docs.groupBy(_bucket(F.col("doc_id"), lows).alias("b")).agg(F.max("doc_id").alias("m")).collect()
     return lows, np.array(sorted((r["b"], LEAST if r["m"] is None else r["m"]) for r in most), np.int64).reshape(-1, 2)
 

@@ -7,7 +7,6 @@ other text as a whole.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 
@@ -15,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import bytes_of, changes, ragged, runs_of
+from .common import Known, bytes_of, changes, ragged, runs_of
 
 #: Distinct parts that a worker keeps between batches; beyond this it starts anew.
 KEPT_PARTS = 800_000
@@ -86,51 +85,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self._empty()
-
-    def _empty(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.model, self.known = self.tokenizer.model.tokenize, Known(KEPT_PARTS)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.parts)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + len(parts) > len(self.start):
-            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(parts)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(parts)] = lengths
-        self.parts.update(zip(parts, range(n, n + len(parts))))
-        self.used += len(ids)
-
-    def _learn(self, parts: list[str]) -> None:
-        """Parts that the pre-tokenizer leaves whole, spelt as the byte-level alphabet has them."""
-        model = self.tokenizer.model.tokenize
-        for k in range(0, len(parts), 50_000):
-            some = parts[k : k + 50_000]
-            ids = [[t.id for t in model(p if p.isascii() else p.translate(ALPHABET))] for p in some]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._store(some, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
+    def _part(self, part: str) -> list[int]:
+        """A part that the pre-tokenizer leaves whole, spelt as the byte-level alphabet has it."""
+        return [t.id for t in self.model(part if part.isascii() else part.translate(ALPHABET))]
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the number of each text."""
-        if len(self.parts) > KEPT_PARTS:
-            self._empty()
         index, forms, offsets = _cut(pc.utf8_lower(texts))
-        known, forms = self.parts.get, forms.to_pylist()
-        at = np.fromiter([known(w, -1) for w in forms], np.int64, len(forms))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            at[new] = np.arange(len(self.parts), len(self.parts) + len(new))
-            self._learn([forms[k] for k in new.tolist()])
-        at = at[index]
-        lengths = self.length[at]
-        ids = self.pool[ragged(self.start[at], lengths)]
+        ids, lengths = self.known.ids(index, forms.to_pylist(), self._part)
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return ids, np.diff(ends[offsets])
 
