@@ -3,7 +3,7 @@
 The file format, a folder of two Parquet tables, one row a block so that lost tasks are written again:
 
   codebook (id, bits): the code length of each id that occurs; codes are canonical: by length, then id.
-  blocks (part, block, before, n_ids, data): documents in ascending doc_id, part after part, block after block;
+  blocks (part, block, before, n_ids, data): documents in ascending doc_id, part after part (buckets of doc_ids), block after block;
     `before` is the number of ids in the part's earlier blocks. `data` is
       "QHUF", version 1, checkpoint distance K, number of documents D (uint32 each, little-endian);
       D doc_ids (int64); D flags (uint8, 1: no doc_id); D counts of ids (uint32); D byte lengths of streams (uint32);
@@ -17,11 +17,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, ragged, texts_of
+from .common import Scratch, arrow_map, bucket_of, id_bounds, ragged, texts_of
 from .wordbpe import WordEncoder
 
 MAGIC, VERSION = b"QHUF", 1
@@ -221,17 +220,21 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast((lengths, codes_of(lengths)))
 
+    bounds = id_bounds(tokens.select("doc_id"))
+
     def streams(batch):
         ids, n = _ids(batch)
         data, sizes, marks, count = encode(ids, n, *shared.value)
         data, marks = data.tobytes(), marks.astype("<u4").tobytes()
         ends, mark_ends = np.cumsum(sizes).tolist(), (np.cumsum(count) * 4).tolist()
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n"), pa.array([marks[a:b] for a, b in zip([0, *mark_ends], mark_ends)], pa.binary()), pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["doc_id", "n", "marks", "stream"]
+            [pa.array(bucket_of(batch.column("doc_id"), bounds)), batch.column("doc_id"), batch.column("n"), pa.array([marks[a:b] for a, b in zip([0, *mark_ends], mark_ends)], pa.binary()), pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["part", "doc_id", "n", "marks", "stream"]
         )
 
     def blocks(batches):
-        part, block, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        """Blocks of documents sorted by part and doc_id."""
+        part = block = before = size = 0
+        held = []
 
         def close():
             doc_ids, n, marks, data = zip(*held)
@@ -240,18 +243,20 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
             return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_ids": [sum(n)], "data": [whole]})
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "marks", "stream"))):
-                held.append(row)
-                size += len(row[3])
-                if size >= BLOCK_BYTES or len(held) >= BLOCK_DOCS:
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "marks", "stream"))):
+                if held and (own != part or size >= BLOCK_BYTES or len(held) >= BLOCK_DOCS):
                     yield close()
                     block, before, held, size = block + 1, before + sum(r[1] for r in held), [], 0
+                if own != part:
+                    part, block, before = own, 0, 0
+                held.append(row)
+                size += len(row[3])
         if held:
             yield close()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_docs = arrow_map(tokens.drop("counts"), streams, "doc_id long, n long, marks binary, stream binary", text="ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "stream")
-    sorted_docs.mapInArrow(blocks, "part long, block long, before long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    coded = arrow_map(tokens.drop("counts"), streams, "part long, doc_id long, n long, marks binary, stream binary", text="ids")
+    coded = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n", "stream")
+    coded.mapInArrow(blocks, "part long, block long, before long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     scratch.drop("tokens")
 
 
@@ -263,7 +268,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     lengths[list(bits)] = list(bits.values())
     limit = max(16, int(lengths.max(initial=0)))
     base, total = {}, 0
-    for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # a row for each task that wrote
+    for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # a row for each bucket of doc_ids
         base[r["part"]], total = total, total + r["n"]
     shared = spark.sparkContext.broadcast((lengths, base))
 
