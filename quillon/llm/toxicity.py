@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import zlib
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, ragged, texts_of, words_of
 
 #: The classifier is fitted on at most this many labelled documents, those of the least hash of doc_id.
-FIT_DOCUMENTS = 8000
+FIT_DOCUMENTS = 6000
 #: Hashed features (a power of two), lengths of word beginnings, and rounds of gradient descent.
 FEATURES, BEGINNINGS, ROUNDS = 1 << 20, range(3, 10), 120
 #: A feature counts if so many of the fitted documents have it, and toxic ones this many times as often as all do.
@@ -70,11 +71,15 @@ def noisy_or(z: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _document_counts(index: np.ndarray, doc: np.ndarray, flat: np.ndarray, wide: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In how many documents each feature occurs, and in how many toxic ones."""
-    pair = np.unique(doc.astype(np.int64) * len(wide) + index)
-    doc, word = pair // max(1, len(wide)), pair % max(1, len(wide))
-    first = np.cumsum(wide) - wide
-    seen = np.unique(np.repeat(doc, wide[word]) * FEATURES + flat[ragged(first[word], wide[word])])
-    return np.bincount(seen % FEATURES, minlength=FEATURES), np.bincount(seen % FEATURES, y[seen // FEATURES], FEATURES)
+    first, seen, toxic = np.cumsum(wide) - wide, np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for begin in range(0, len(y), 256):  # a few documents at a time: their pairs of document and feature are many
+        lo, hi = np.searchsorted(doc, (begin, begin + 256))
+        pair = np.unique((doc[lo:hi].astype(np.int64) - begin) * len(wide) + index[lo:hi])
+        own, word = pair // len(wide), pair % len(wide)
+        pair = np.unique(np.repeat(own, wide[word]) * FEATURES + flat[ragged(first[word], wide[word])])
+        seen += np.bincount(pair % FEATURES, minlength=FEATURES)
+        toxic += np.bincount(pair[y[begin + pair // FEATURES] > 0] % FEATURES, minlength=FEATURES)
+    return seen, toxic
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1, lasso: float = 2e-5) -> Model:
@@ -86,26 +91,32 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
     if not len(texts) or labels.all() or not labels.any():
         return Model(weights.astype(np.float32), bias)
     index, forms, sentence, offsets = sentences_of(pa.array(texts, pa.large_string()))
-    per = [features(f) for f in forms]
-    wide = np.fromiter(map(len, per), np.int64, len(per))
-    flat, owner = np.fromiter((x for p in per for x in p), np.int64, int(wide.sum())), np.repeat(np.arange(len(per)), wide)
-    del per
+    sentence = sentence.astype(np.int32)
+    flat, wide = array.array("i"), array.array("i")
+    for f in forms:
+        some = features(f)
+        flat.extend(some)
+        wide.append(len(some))
+    n_forms, flat, wide = len(forms), np.array(flat, np.int32), np.array(wide, np.int32)
+    del forms
+    owner = np.repeat(np.arange(n_forms, dtype=np.int32), wide)
     y, doc = labels.astype(float), np.repeat(np.arange(len(texts)), np.diff(offsets))
     n = int(offsets[-1])
     seen = _document_counts(index, doc[sentence], flat, wide, y)
     useful = ((seen[0] >= SEEN_IN) & (seen[1] >= LIFT * y.mean() * seen[0]))[flat]
     flat, owner = flat[useful], owner[useful]
-    told = (np.bincount(owner, minlength=len(forms)) > 0)[index]  # words without such a feature have no part in what follows
+    told = (np.bincount(owner, minlength=n_forms) > 0)[index]  # words without such a feature have no part in what follows
     index, sentence = index[told], sentence[told]
+    del told, useful
     slow, fast, slow_b, fast_b = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for k in range(1, rounds + 1):
-        word = np.bincount(owner, weights[flat], len(forms))
+        word = np.bincount(owner, weights[flat], n_forms)
         z = bias + np.bincount(sentence, word[index], n)
         clean = noisy_or(z, offsets)
         p = -np.expm1(clean)
         pull = np.where(y > 0, -np.exp(clean) / np.maximum(p, 1e-9), 1.0)
         g = pull[doc] * expit(z)
-        g_word = np.bincount(index, g[sentence], len(forms))
+        g_word = np.bincount(index, g[sentence], n_forms)
         g_w, g_b = np.bincount(flat, g_word[owner], FEATURES) / len(texts) + lasso, g.sum() / len(texts)
         slow, fast = 0.9 * slow + 0.1 * g_w, 0.99 * fast + 0.01 * g_w * g_w
         slow_b, fast_b = 0.9 * slow_b + 0.1 * g_b, 0.99 * fast_b + 0.01 * g_b * g_b
