@@ -290,6 +290,15 @@ def _pages(t) -> DataFrame:
     return t("documents").select("doc_id", "source", F.lit(1).alias("page"), "text")
 
 
+#: The corpus has no headings and calibers of its own, so queries on them put made-up ones in front of each text.
+_HEADED = "hdoc as (select doc_id, 'Item ' || doc_id % 20 || '. ' || text as text from documents)"
+_CALIBERED = "select doc_id, (2000 + doc_id % 30) || '年半年度 ' || (1999 + doc_id % 30) || '年度' || chr(10) || '单位：' || ['元', '万元', '亿元'][doc_id % 3 + 1] || chr(10) || '合并利润表' || chr(10) || text as text from documents"
+
+
+def _headed(t) -> DataFrame:
+    return t("documents").select("doc_id", "source", F.lit(1).alias("page"), F.concat(F.lit("Item "), (F.col("doc_id") % 20).cast("string"), F.lit(". "), F.col("text")).alias("text"))
+
+
 _LINES = "ln as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as line from documents), nl as (select doc_id, line, raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as x from ln)"
 
 
@@ -301,19 +310,19 @@ def _section_sql() -> str:
     return f"case when length(x) <= 46 then case {cases('x', T.HEADINGS, 1)} {cases('x', T.SUBHEADINGS, 2)} else {none} end else case {cases('left(x, 220)', T.LEADS, 1)} else {none} end end"
 
 
-_SECTIONS = f"{_LINES}, hd as (select doc_id, line, raw, {_section_sql()} as h from nl)"
+_SECTIONS = f"{_HEADED}, {_LINES.replace('from documents', 'from hdoc')}, hd as (select doc_id, line, raw, {_section_sql()} as h from nl)"
 
 
 @query(f"with {_SECTIONS} select doc_id, line, h.level as level, h.title as title from hd where h.level > 0")
 def line_sections(spark, t):
     """Lines that are headings."""
-    return chunking.lines(_pages(t)).where("level > 0").select("doc_id", F.col("line").cast("long").alias("line"), "level", "title")
+    return chunking.lines(_headed(t)).where("level > 0").select("doc_id", F.col("line").cast("long").alias("line"), "level", "title")
 
 
 @query(f"with {_SECTIONS} select doc_id, line, coalesce(last_value(case when h.level > 0 then h.title end ignore nulls) over w, '') as section, coalesce(last_value(case when h.level = 1 then h.title end ignore nulls) over w, '') as major from hd window w as (partition by doc_id order by line rows between unbounded preceding and current row)")
 def section_carry(spark, t):
     """The heading each line stands under."""
-    return chunking.carry_sections(chunking.lines(_pages(t))).select("doc_id", F.col("line").cast("long").alias("line"), "section", "major")
+    return chunking.carry_sections(chunking.lines(_headed(t))).select("doc_id", F.col("line").cast("long").alias("line"), "section", "major")
 
 
 _SENTENCES = "regexp_replace(regexp_replace(x, '([。！？；])', '\\1' || chr(1), 'g'), '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g')"
@@ -337,7 +346,7 @@ def footer_drop(spark, t):
 @query()
 def chunk_pack(spark, t):
     """All documents in chunks of 800 characters with 120 of overlap."""
-    return chunking.chunk(_pages(t))
+    return chunking.chunk(_headed(t))
 
 
 @query("with ln as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents), k as (select *, row_number() over (partition by doc_id order by line) - 1 as seq from ln where length(text) >= 40) select doc_id, line, seq, doc_id || '::' || lpad(seq::varchar, 5, '0') as chunk_id, length(text) as chars from k")
@@ -353,13 +362,16 @@ def _first_distinct(pattern: str, group: int, most: int, of: str = "text") -> st
     return f"array_to_string(list_filter({kept}, lambda z, i: list_position({kept}, z) = i)[:{most}], '／')"
 
 
-_CALIBER = f"""select doc_id, coalesce({_first_distinct(T.PERIOD, 0, 2000)}, '') as p0, coalesce({_first_distinct(T.AMOUNT_UNIT, 1, 2)}, '') as amount_unit from documents"""
+_TITLES = f"array_to_string(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda z: regexp_matches(z, {S.quoted(T.TABLE_TITLE)})), lambda z: trim(z)), lambda z, i: i = 1), '／')"
 
 
-@query(f"select doc_id, array_to_string(string_split(p0, '／')[:4], '／') as period, amount_unit, '' as table_title from ({_CALIBER}) where p0 <> '' or amount_unit <> ''")
+@query(f"select doc_id, {_first_distinct(T.PERIOD, 0, 4)} as period, {_first_distinct(T.AMOUNT_UNIT, 1, 2)} as amount_unit, {_TITLES} as table_title from ({_CALIBERED})")
 def caliber_fields(spark, t):
-    """Periods, amount units and table titles that documents name."""
-    return t("documents").select("doc_id", T.caliber(F.col("text")).alias("c")).select("doc_id", "c.*").where("period <> '' or amount_unit <> ''")
+    """Periods, amount units and table titles that texts name."""
+    k = F.col("doc_id") % 30
+    unit = F.element_at(F.array(F.lit("元"), F.lit("万元"), F.lit("亿元")), (F.col("doc_id") % 3 + 1).cast("int"))
+    front = F.concat((2000 + k).cast("string"), F.lit("年半年度 "), (1999 + k).cast("string"), F.lit("年度\n单位："), unit, F.lit("\n合并利润表\n"))
+    return t("documents").select("doc_id", T.caliber(F.concat(front, F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
 @query(
