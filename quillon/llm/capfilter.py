@@ -9,6 +9,7 @@ remaining parts bounds what a partial choice can still reach. Vectors meet in th
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from statistics import NormalDist
 
 import numpy as np
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, groups_of, lowest, paired_units
 
 #: Filters that a vector passes on average, vectors of a filter on average, vectors of one block of a large filter.
-PASSED, IN_FILTER, BLOCK = 24, 128, 1024
+PASSED, IN_FILTER, BLOCK = 20, 128, 1024
+#: Partial choices of codes that list decoding looks at together.
+DECODED = 1 << 22
 #: What rounding of single precision may take from a cosine.
 SLACK = 1e-5
 
@@ -80,25 +83,33 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _stored(codes: Iterable[Code]) -> str:
+    """How lists of filters are stored."""
+    return "<i4" if all(c.size**c.parts < 1 << 31 for c in codes) else "<i8"
+
+
 def _in_filters(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
     """(dims, filter, rep, copies, vector, filters): a row for each filter that a class passes."""
+    kind = _stored(codes.values())
 
     def run(batches):
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             for d in np.unique(dims):
-                some = batch.take(pa.array(np.flatnonzero(dims == d)))
-                x = _matrix(some.column("vector"))
-                found = codes[int(d)].decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                n = np.fromiter(map(len, found), np.int64, len(found))
-                at = pa.array(np.repeat(np.arange(len(found)), n))
-                lists = pa.array([f.astype("<i8").tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("dims").take(at), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), some.column("rep").take(at), some.column("copies").take(at), some.column("vector").take(at), lists.take(at)],
-                    names=["dims", "filter", "rep", "copies", "vector", "filters"],
-                )
-
-    return classes.mapInArrow(run, "dims int, filter long, rep long, copies long, vector array<double>, filters binary")
+                code, own = codes[int(d)], np.flatnonzero(dims == d)
+                step = max(16, DECODED // code.size**2)
+                for k in range(0, len(own), step):
+                    some = batch.take(pa.array(own[k : k + step]))
+                    x = _matrix(some.column("vector"))
+                    found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    at = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+                    lists = pa.array([f.astype(kind).tobytes() for f in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("dims").take(at), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), some.column("rep").take(at), some.column("copies").take(at), some.column("vector").take(at), lists.take(at)],
+                        names=["dims", "filter", "rep", "copies", "vector", "filters"],
+                    )
+
+    return classes.mapInArrow(run, f"dims int, filter long, rep long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, filters binary")
 
 
 def _first_common(a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
@@ -110,7 +121,7 @@ def _first_common(a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
     return out
 
 
-def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
+def _verify(whole: pa.Table, least: float, kind: str) -> pa.RecordBatch | None:
     """Of the units in a sorted table: rows (rep, other copies linked, null) and (rep, null, root within the unit)."""
     keys = np.column_stack([whole.column(c).to_numpy() for c in ("dims", "filter", "tree_no", "probe_no")]).astype(np.int64)
     cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -133,7 +144,7 @@ def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
             continue
         sure = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= least for k in range(0, len(i), 65536)])
         i, j = i[sure], j[sure]
-        lists = [np.frombuffer(f, "<i8") for f in whole.column("filters").slice(lo, hi - lo).to_pylist()]
+        lists = [np.frombuffer(f, kind) for f in whole.column("filters").slice(lo, hi - lo).to_pylist()]
         padded = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
         for k, f in enumerate(lists):
             padded[k, : len(f)] = f
@@ -164,7 +175,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95
     Pairs never leave a task: it counts a pair in the first filter that both pass, and sends a spanning forest.
     """
     scratch = Scratch(spark, "caps")
-    value = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # no negative zero
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    value = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0).cast(kind))  # no negative zero
     sound = vectors.select("vec_id", "embedding").where(usable(F.col("embedding"))).select("vec_id", value.alias("vector"))
     sound = sound.withColumns({"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), F.col("vector"))})
     classes = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
@@ -172,10 +184,11 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95
     codes = {r["dims"]: Code(r["dims"], r["n"]) for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each number of dimensions
     units = paired_units(_in_filters(classes.select("dims", "rep", "copies", "vector"), codes).withColumn("key", F.struct("dims", "filter")), "key", "rep", BLOCK)
     keys = ["dims", "filter", "tree_no", "probe_no"]
+    wide = _stored(codes.values())
 
     def run(batches):
         for whole in groups_of(batches, keys, 1 << 13):
-            if (out := _verify(whole, least)) is not None and out.num_rows:
+            if (out := _verify(whole, least, wide)) is not None and out.num_rows:
                 yield out
 
     units = units.drop("key").repartition(*keys).sortWithinPartitions(*keys, "rep")
