@@ -143,12 +143,12 @@ def from_block(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         p += out[-1].nbytes
     doc_ids, flags, n, sizes = out[0], out[1], out[2].astype(np.int64), out[3].astype(np.int64)
     runs = -(-n // step)
-    marks = np.frombuffer(data, "<u4", int((runs - 1).sum()), p)
+    marks = np.frombuffer(data, "<u4", int(np.maximum(runs - 1, 0).sum()), p)
     p += marks.nbytes
     at = np.zeros(int(runs.sum()), np.int64)
     first = np.cumsum(runs) - runs
     later = np.ones(len(at), bool)
-    later[first] = False
+    later[first[runs > 0]] = False
     at[later] = marks
     at += np.repeat((np.cumsum(sizes) - sizes) * 8, runs)
     inside = ragged(np.zeros(docs, np.int64), runs) * step

@@ -51,9 +51,10 @@ def sentences_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np
     """Words: index and forms as words_of has them; each word's sentence; the n + 1 offsets of texts in sentences."""
     index, forms, offsets = words_of(pc.replace_substring(texts, "\n", f" {LINE} "))
     n = len(offsets) - 1
-    last = np.fromiter((f.endswith(ENDS) or f == LINE for f in forms), bool, len(forms))[index] if len(index) else np.zeros(0, bool)
+    line = np.fromiter((f == LINE for f in forms), bool, len(forms))[index] if len(index) else np.zeros(0, bool)
+    last = np.fromiter((f.endswith(ENDS) for f in forms), bool, len(forms))[index] | line if len(index) else line
     begins = np.ones(len(index), bool)
-    begins[1:] = last[:-1]
+    begins[1:] = last[:-1] & ~line[1:]  # the end of a line goes with the sentence before it
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
     sentence = np.cumsum(begins) - 1
     return index, forms, sentence, np.concatenate(([0], np.cumsum(begins)))[offsets].reshape(n + 1)
