@@ -51,16 +51,18 @@ def _pass(spark, rows, vectors, k, query, key, vector, within) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, groups, q = shared.value
+        place = {g: k for k, g in enumerate(dict.fromkeys(groups))}
+        asked = np.array([place[g] for g in groups])
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 some = batch.slice(start, ROWS)
-                x = np.array(some.column(vector).to_pylist(), np.float64)
+                x = some.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
                 sims = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
                 keys = some.column(key).to_numpy(zero_copy_only=False)
                 if within:
-                    own = list(zip(*(some.column(c).to_pylist() for c in within)))
-                    sims[np.array([[g != o for o in own] for g in groups])] = -np.inf
+                    own = zip(*(some.column(c).to_pylist() for c in within))
+                    sims[asked[:, None] != np.array([place.get(o, -1) for o in own])] = -np.inf
                 order = np.lexsort((np.broadcast_to(keys, sims.shape), -sims))[:, :k]
                 at, col = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
                 real = np.isfinite(sims[at, col])

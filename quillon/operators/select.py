@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,13 @@ from pyspark.sql import functions as F
 GAP, DOC_CAP = 2, 3
 
 
+def in_blocks(asked: DataFrame, key: str, each: Callable[[DataFrame], DataFrame], rows: int = 4096) -> DataFrame:
+    """The union of each(block) over blocks of about `rows` rows of asked, whose size is so bounded that a block can be broadcast."""
+    n = max(1, -(-asked.count() // rows))
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return reduce(DataFrame.unionByName, [each(asked.where(block == k) if n > 1 else asked) for k in range(n)])
+
+
 def drop_adjacent(hits: DataFrame, query: str, doc: str = "doc_id", seq: str = "seq", rank: str = "rank", gap: int = GAP) -> DataFrame:
     """Without hits that lie within `gap` of a better hit of the same document that was kept itself.
 

@@ -540,8 +540,10 @@ def ledger_totals(spark, t):
 @query("select item_id, count(*) as n_chunks from benchmark b join documents d on d.text ilike '%' || split_part(b.text, ' ', 1) || ' ' || split_part(b.text, ' ', 2) || '%' group by all")
 def criterion_breadth(spark, t):
     """How many documents contain the first two words of an item, in any case."""
-    asked = t("benchmark").select("item_id", F.lower(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))).alias("w")).limit(10_000)
-    return t("documents").select(F.lower("text").alias("x")).join(F.broadcast(asked), F.contains("x", F.col("w"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    asked = t("benchmark").select("item_id", F.lower(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))).alias("w"))
+    texts = t("documents").select(F.lower("text").alias("x"))
+    found = select.in_blocks(asked, "item_id", lambda block: texts.join(F.broadcast(block), F.contains("x", F.col("w"))))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 @query()

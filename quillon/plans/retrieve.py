@@ -31,7 +31,11 @@ def anchor_channel(chunks: DataFrame, anchors: DataFrame, bm25: DataFrame, query
     """
     rows = chunks.where(F.contains("text", F.lit(T.ROW_SEPARATOR))).select(key, F.explode(F.split("text", "\n")).alias("line"))
     rows = rows.where(F.contains("line", F.lit(T.ROW_SEPARATOR)) & (F.col("line").rlike("[0-9]") if numbered else F.lit(True))).select(key, T.row_label(F.col("line")).alias("label"))
-    hits = rows.join(F.broadcast(anchors.limit(10_000)), F.endswith("label", F.col("anchor"))).groupBy(query, key).agg(F.count(F.lit(1)).alias("anchor_hits"))
+    # an anchor ends a label if it is one of the label's endings: a join by equality, for any number of anchors
+    lengths = anchors.agg(F.collect_set(F.length("anchor")).alias("__l"))  # one row
+    ends = F.transform(F.filter("__l", lambda n: n <= F.length("label")), lambda n: F.right(F.col("label"), n))
+    rows = rows.crossJoin(F.broadcast(lengths)).select(key, F.explode(ends).alias("anchor"))
+    hits = rows.join(anchors, "anchor").groupBy(query, key).agg(F.count(F.lit(1)).alias("anchor_hits"))
     hits = hits.join(bm25.select(query, key, F.col("rank").alias("__b")), [query, key], "left")
     best = Window.partitionBy(query).orderBy(F.desc("anchor_hits"), F.coalesce("__b", F.lit(pool)), key)
     return hits.select(query, key, "anchor_hits", (F.row_number().over(best) - 1).alias("rank"))
@@ -51,9 +55,14 @@ def company_channel(sims: DataFrame, named: DataFrame, k: int, query: str, key:
 
 def named_companies(questions: DataFrame, companies: DataFrame, query: str, text: str = "text") -> DataFrame:
     """(query, company, alias, position): companies(company) that a question names, in the order of their names."""
-    both = questions.select(query, F.col(text).alias("__q")).join(F.broadcast(companies.select("company").distinct().limit(10_000)), T.named_alias(F.col("__q"), F.col("company")).isNotNull())
+    names = companies.select("company").distinct().select("company", F.posexplode(T.aliases(F.col("company"))).alias("k", "alias")).where("alias <> ''")
+    lengths = names.agg(F.collect_set(F.length("alias")).alias("__l"))  # one row
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    parts = F.array_distinct(F.flatten(F.transform("__l", lambda n: F.transform(starts, lambda i: F.substr(F.col(text), i, n)))))
+    asked = questions.crossJoin(F.broadcast(lengths)).select(query, F.explode(parts).alias("alias"))
+    found = asked.join(names, "alias").groupBy(query, "company").agg(F.min(F.struct("k", "alias")).alias("a"))
     order = Window.partitionBy(query).orderBy("company")
-    return both.select(query, "company", T.named_alias(F.col("__q"), F.col("company")).alias("alias"), (F.row_number().over(order) - 1).alias("position"))
+    return found.select(query, "company", "a.alias", (F.row_number().over(order) - 1).alias("position"))
 
 
 def search(

@@ -194,3 +194,22 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_named_companies(spark):
+    asked = spark.createDataFrame([(1, "三星和 hynix 谁大"), (2, "none")], "query_id long, text string")
+    names = spark.createDataFrame([("三星电子",), ("SK hynix",), ("美光 Micron",), (None,)], "company string")
+    got = [(r.query_id, r.company, r.alias, r.position) for r in retrieve.named_companies(asked, names, "query_id").orderBy("position").collect()]
+    assert got == [(1, "SK hynix", "hynix", 0), (1, "三星电子", "三星", 1)]
+
+
+def test_anchor_channel(spark):
+    chunks = spark.createDataFrame([(1, "一、营业收入 | 3\n营业收入 | 4"), (2, "营业收入 | 5"), (3, "营业收入 5"), (4, "净利 | x")], "row long, text string")
+    anchors = spark.createDataFrame([(7, "营业收入"), (7, "净利")], "query_id long, anchor string")
+    bm25 = spark.createDataFrame([], "query_id long, row long, rank int")
+    assert [(r.row, r.anchor_hits, r["rank"]) for r in retrieve.anchor_channel(chunks, anchors, bm25, "query_id", "row").orderBy("rank").collect()] == [(1, 2, 0), (2, 1, 1)]
+
+
+def test_blocks_of_questions(spark):
+    asked = spark.range(10).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in select.in_blocks(asked, "k", lambda b: b, rows=3).collect()) == list(range(10))
