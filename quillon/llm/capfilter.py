@@ -9,18 +9,20 @@ remaining parts bounds what a partial choice can still reach. Vectors meet in th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, groups_of, lowest, paired_units
+from .common import Scratch, connected_components, groups_of, lowest, paired_units, ragged
 
 #: Filters that a vector passes on average, vectors of a filter on average, vectors of one block of a large filter.
-PASSED, IN_FILTER, BLOCK = 20, 128, 1024
+PASSED, IN_FILTER, BLOCK = 20, 128, 512
+#: Pairs that are verified together.
+PAIRS = 1 << 14
 #: Partial choices of codes that list decoding looks at together.
 DECODED = 1 << 22
 #: What rounding of single precision may take from a cosine.
@@ -32,7 +34,7 @@ class Code:
 
     def __init__(self, dims: int, n: int, seed: int = 20):
         rng = np.random.default_rng([seed, dims])
-        filters = max(1, PASSED * n // IN_FILTER)
+        filters = max(8 * PASSED, PASSED * n // IN_FILTER)
         self.parts = max(1, min(dims, 2 if filters <= 1 << 16 else 3 if filters <= 1 << 24 else 4))
         self.size = max(2, math.ceil(filters ** (1 / self.parts)))
         self.turn = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
@@ -83,14 +85,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _stored(codes: Iterable[Code]) -> str:
-    """How lists of filters are stored."""
-    return "<i4" if all(c.size**c.parts < 1 << 31 for c in codes) else "<i8"
-
-
-def _in_filters(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """(dims, filter, rep, copies, vector, filters): a row for each filter that a class passes."""
-    kind = _stored(codes.values())
+def _with_filters(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
+    """classes with `filters`, the filters that each passes, ascending."""
+    names = classes.columns
 
     def run(batches):
         for batch in batches:
@@ -102,26 +99,27 @@ def _in_filters(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
                     some = batch.take(pa.array(own[k : k + step]))
                     x = _matrix(some.column("vector"))
                     found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    at = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
-                    lists = pa.array([f.astype(kind).tobytes() for f in found], pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column("dims").take(at), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), some.column("rep").take(at), some.column("copies").take(at), some.column("vector").take(at), lists.take(at)],
-                        names=["dims", "filter", "rep", "copies", "vector", "filters"],
-                    )
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=[*names, "filters"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(run, f"{schema}, filters array<long>")
 
-    return classes.mapInArrow(run, f"dims int, filter long, rep long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, filters binary")
+
+def _padded(column: pa.Array) -> np.ndarray:
+    """Lists as rows, filled up with the largest number."""
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(n), max(1, int(n.max(initial=0)))), np.iinfo(np.int64).max)
+    out[np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def _first_common(a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
     """Whether `own` is the first filter that rows of a and b (padded lists of filters) have in common."""
-    out = np.ones(len(a), bool)
-    for k in range(0, len(a), 1 << 15):
-        x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-        out[k : k + (1 << 15)] = ~((x[:, :, None] == y[:, None, :]) & (x < own)[:, :, None]).any((1, 2))
-    return out
+    return ~((a[:, :, None] == b[:, None, :]) & (a < own)[:, :, None]).any((1, 2))
 
 
-def _verify(whole: pa.Table, least: float, kind: str) -> pa.RecordBatch | None:
+def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
     """Of the units in a sorted table: rows (rep, other copies linked, null) and (rep, null, root within the unit)."""
     keys = np.column_stack([whole.column(c).to_numpy() for c in ("dims", "filter", "tree_no", "probe_no")]).astype(np.int64)
     cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -142,21 +140,20 @@ def _verify(whole: pa.Table, least: float, kind: str) -> pa.RecordBatch | None:
         i, j = i[once], j[once]
         if not len(i):
             continue
-        sure = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= least for k in range(0, len(i), 65536)])
-        i, j = i[sure], j[sure]
-        lists = [np.frombuffer(f, kind) for f in whole.column("filters").slice(lo, hi - lo).to_pylist()]
-        padded = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-        for k, f in enumerate(lists):
-            padded[k, : len(f)] = f
-        own = rep[lo:hi]
-        parent = lowest(np.arange(hi - lo), i, j)
-        tied = np.flatnonzero(parent != np.arange(hi - lo))
+        padded = _padded(whole.column("filters").slice(lo, hi - lo).combine_chunks())
+        own, many = rep[lo:hi], copies[lo:hi]
+        parent, n = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+            sure = np.einsum("nd,nd->n", x[a], x[b]) >= least
+            a, b = a[sure], b[sure]
+            parent = lowest(parent, a, b)
+            first = _first_common(padded[a], padded[b], int(keys[lo, 1]))
+            np.add.at(n, a[first], many[b[first]])
+            np.add.at(n, b[first], many[a[first]])
+        tied, some = np.flatnonzero(parent != np.arange(hi - lo)), np.flatnonzero(n)
         out.append((own[tied], np.full(len(tied), -1), own[parent[tied]]))
-        first = _first_common(padded[i], padded[j], int(keys[lo, 1]))
-        i, j = i[first], j[first]
-        n = np.bincount(i, copies[lo:hi][j], hi - lo) + np.bincount(j, copies[lo:hi][i], hi - lo)
-        some = np.flatnonzero(n)
-        out.append((own[some], n[some].astype(np.int64), np.full(len(some), -1)))
+        out.append((own[some], n[some], np.full(len(some), -1)))
     if not out:
         return None
     rep, n, root = map(np.concatenate, zip(*out))
@@ -182,16 +179,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95
     classes = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = scratch.put(classes.withColumn("rep", F.coalesce("least", "k1")).withColumn("dims", F.size("vector")), "classes")
     codes = {r["dims"]: Code(r["dims"], r["n"]) for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each number of dimensions
-    units = paired_units(_in_filters(classes.select("dims", "rep", "copies", "vector"), codes).withColumn("key", F.struct("dims", "filter")), "key", "rep", BLOCK)
+    passed = scratch.put(_with_filters(classes.select("dims", "rep", "copies", "vector"), codes), "passed")
+    units = paired_units(passed.withColumn("filter", F.explode("filters")), ["dims", "filter"], "rep", BLOCK, scratch)
     keys = ["dims", "filter", "tree_no", "probe_no"]
-    wide = _stored(codes.values())
 
     def run(batches):
         for whole in groups_of(batches, keys, 1 << 13):
-            if (out := _verify(whole, least, wide)) is not None and out.num_rows:
+            if (out := _verify(whole, least)) is not None and out.num_rows:
                 yield out
 
-    units = units.drop("key").repartition(*keys).sortWithinPartitions(*keys, "rep")
+    units = units.repartition(*keys).sortWithinPartitions(*keys, "rep")
     found = scratch.put(units.mapInArrow(run, "rep long, n long, root long"), "found")
     links = found.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("root is not null"), "rep", "root", scratch).withColumnRenamed("node", "rep")

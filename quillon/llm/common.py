@@ -229,17 +229,21 @@ def bucket_of(doc_ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blocks of pairs
 
+#: A table of hot keys of up to so many rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
-def paired_units(members: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """Deals the members of each key to units (key, tree_no, probe_no) in which every pair of members of the key meets once.
+
+def paired_units(members: DataFrame, keys: list[str], member: str, block: int, scratch: Scratch, name: str = "hot") -> DataFrame:
+    """Deals the members of each key to units (keys, tree_no, probe_no) in which every pair of members of the key meets once.
 
     A key with up to `block` members is one unit (0, 0). A larger one is cut by a hash of the member into chunks of
     about `block`; chunk i as tree and chunk j as probe meet in unit (i, j), i <= j. No unit grows with its key.
     Adds columns tree_no, probe_no (int), is_tree, is_probe (boolean).
     """
-    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
-    counts = counts.select(key, F.ceil(F.col("__n") / block).cast("int").alias("__chunks"))
-    dealt = members.join(counts, key, "left").withColumn("__chunks", F.coalesce("__chunks", F.lit(1)))
+    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
+    hot = scratch.put(counts.select(*keys, F.ceil(F.col("__n") / block).cast("int").alias("__chunks")), name)
+    small = hot.count() <= BROADCAST_ROWS
+    dealt = members.join(F.broadcast(hot) if small else hot, keys, "left").withColumn("__chunks", F.coalesce("__chunks", F.lit(1)))
     dealt = dealt.withColumn("__c", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("__chunks").cast("long")).cast("int"))
     unit = F.when(F.col("__chunks") == 1, F.array(F.struct(F.lit(0).alias("t"), F.lit(0).alias("p")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("__chunks") - 1), lambda j: F.struct(F.least(F.col("__c"), j).alias("t"), F.greatest(F.col("__c"), j).alias("p")))

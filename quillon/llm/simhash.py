@@ -154,14 +154,14 @@ def _link(table: pa.Table, radius: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[parent[tied]])], names=["a", "b"])
 
 
-def links(reps: DataFrame, n: int, radius: int = 4, tree: int = TREE) -> DataFrame:
+def links(reps: DataFrame, n: int, scratch: Scratch, radius: int = 4, tree: int = TREE) -> DataFrame:
     """(a, b) of distinct fingerprints whose components are those of all pairs within the radius.
 
     Fingerprints within the radius share a shard (blocks of bits that agree). Each shard is a BK-tree that goes, with
     its probes, to one task; a shard of over `tree` fingerprints is cut into several trees that meet all its probes.
     Of a shard's pairs only a spanning forest leaves the task.
     """
-    units = paired_units(shards(reps, *plan_blocks(n, radius)), "shard", "fp", tree)
+    units = paired_units(shards(reps, *plan_blocks(n, radius)), ["shard"], "fp", tree, scratch)
     keys = ["shard", "tree_no", "probe_no"]
 
     def run(batches):
@@ -182,7 +182,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, width
     scratch = Scratch(spark, "simhash")
     fps = scratch.put(fingerprints(docs, width), "fps")
     reps = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    edges = links(reps.select("fp"), reps.count(), radius)
+    edges = links(reps.select("fp"), reps.count(), scratch, radius)
     roots = connected_components(edges, "a", "b", scratch)
     rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
