@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import first_rows
+
 #: Queries that go to the executors at a time, and vectors that are compared with them at a time.
 QUERIES, ROWS = 1024, 8192
 
@@ -42,8 +44,7 @@ def top(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id",
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = queries.select(query).join(vectors.select(*names), F.lit(False)).select(query, key, F.lit(0.0).alias("sim"))
-    best = Window.partitionBy(query).orderBy(F.desc("sim"), key)
-    return out.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    return first_rows(out, [query], [F.desc("sim"), key], k)
 
 
 def _pass(spark, rows, vectors, k, query, key, vector, within) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranking import first_rows
 
 K1, B = 1.5, 0.75
 
@@ -70,5 +71,4 @@ def search(index: Index, queries: DataFrame, key: str, query: str, pool: int = 1
     hits = weights(some, key).join(asked, "term").groupBy(query, key)
     scored = hits.agg(F.round(F.sum("w"), 6).alias("score"), F.array_sort(F.collect_list(F.struct("at", "term"))).alias("m"))
     scored = scored.select(query, key, "score", F.col("m.term").alias("matched"))
-    best = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < pool)
+    return first_rows(scored, [query], [F.desc("score"), key], pool)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import first_rows
+
 #: Neighbours are this near, a document has so many seats.
 GAP, DOC_CAP = 2, 3
 
@@ -44,7 +46,7 @@ def cap_documents(hits: DataFrame, query: str, doc: str = "doc_id", rank: str =
 
 def best_of_each(hits: DataFrame, per: int, by: list[str], order: list[Column]) -> DataFrame:
     """The first `per` rows of each group, with `place` 0 and up."""
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("place") < per)
+    return first_rows(hits, by, order, per, "place")
 
 
 def deal(picks: DataFrame, query: str, position: str) -> DataFrame:
@@ -70,5 +72,5 @@ def seat(hits: DataFrame, named: DataFrame, k: int, query: str, key: str, compan
     two = two.select(query, key, F.struct(F.lit(1).alias("phase"), F.col("__i").cast("long").alias("a"), F.col("position").cast("long").alias("b")).alias("claim"))
     three = hits.select(query, key, F.struct(F.lit(2).alias("phase"), F.col(rank).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("claim"))
     claims = one.unionByName(two).unionByName(three).groupBy(query, key).agg(F.min("claim").alias("claim"))
-    seats = claims.withColumn("seat", F.row_number().over(Window.partitionBy(query).orderBy("claim", key)) - 1).where(F.col("seat") < k)
+    seats = first_rows(claims, [query], ["claim", key], k, "seat")
     return hits.join(seats.select(query, key, "seat"), [query, key])

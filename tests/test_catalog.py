@@ -16,7 +16,7 @@ def test_runs(spark, data, name):
 
 
 def test_plans(spark, data):
-    """Top-k by group is limited before the window's sort; no cartesian product joins postings."""
+    """Top-k by group is limited before the window's sort; filters reach the scan."""
     plan = catalog.QUERIES["bm25_top10"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     read = spark.read.parquet(f"{data}/documents.parquet").where("source = 'src1'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
