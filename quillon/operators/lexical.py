@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ranking import first_rows
+from .scratch import Store
 
 K1, B = 1.5, 0.75
 
@@ -35,9 +36,13 @@ def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build(docs: DataFrame, key: str, text: str = "text") -> Index:
-    """Lengths count tokens before the vocabulary is cut to terms of two characters and two documents or more."""
+def build(docs: DataFrame, key: str, text: str = "text", store: Store | None = None) -> Index:
+    """Lengths count tokens before the vocabulary is cut to terms of two characters and two documents or more.
+
+    With a store, texts are cut to tokens once, and the index's tables are made from the written counts.
+    """
     found = terms(docs, key, text)
+    found = store.put(found, "terms") if store else found
     lengths = docs.select(key).join(found.groupBy(key).agg(F.sum("tf").alias("doclen")), key, "left").select(key, F.coalesce("doclen", F.lit(0)).alias("doclen"))
     vocabulary = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= 2) & (F.length("term") > 1))
     postings = found.join(vocabulary.select("term"), "term")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, chunking, dense, fusion, judge, lexical, profile, select
+from ..operators.scratch import Store, folder
 from ..sources import html, plain, tabular
 from ..streaming import ingest
 from . import retrieve
@@ -66,8 +67,14 @@ def tokenize_terms(spark, t):
     return raw.where(~F.col("term").isin(T.STOP + T.STOP_CJK)).groupBy("item_id", "term").agg(F.min("at").cast("long").alias("first_at"), F.count(F.lit(1)).alias("tf"))
 
 
+def _index(t) -> lexical.Index:
+    docs = t("documents")
+    return lexical.build(docs, "doc_id", store=Store(docs.sparkSession, "index"))
+
+
 def _bm25(t) -> DataFrame:
-    return lexical.search(lexical.build(t("documents"), "doc_id"), t("benchmark"), "doc_id", "item_id")
+    found = lexical.search(_index(t), t("benchmark"), "doc_id", "item_id")
+    return Store(found.sparkSession, "bm25").put(found, "hits")
 
 
 _BM25 = S.bm25("bm", "documents", "doc_id", "benchmark", "item_id")
@@ -159,7 +166,7 @@ def rrf_weighted_rewrites(spark, t):
     """A question at weight 1 fused with two rewrites (its first two sentences) at 0.6."""
     parts = F.array(F.col("text"), F.split_part("text", F.lit("."), F.lit(1)), F.split_part("text", F.lit("."), F.lit(2)))
     asked = t("benchmark").select("item_id", F.posexplode(parts).alias("pos", "text")).select((F.col("item_id") * 10 + F.col("pos")).alias("qid"), "text")
-    ranked = lexical.search(lexical.build(t("documents"), "doc_id"), asked, "doc_id", "qid")
+    ranked = lexical.search(_index(t), asked, "doc_id", "qid")
     ranked = ranked.withColumns({"item_id": F.floor(F.col("qid") / 10).cast("long"), "w": F.when(F.col("qid") % 10 == 0, 1.0).otherwise(fusion.REWRITE)})
     return fusion.fuse([fusion.votes(ranked, "item_id", "doc_id", "w")], "item_id", "doc_id").where("rank < 20").withColumn("rank", F.col("rank").cast("long"))
 
@@ -261,7 +268,7 @@ def hybrid_search(spark, t):
     vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = t("benchmark").select("item_id").join(t("embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
     named = _named(spark, t).withColumnRenamed("lang", "company")
-    rows = retrieve.search(chunks, lexical.build(docs, "doc_id"), vectors, t("benchmark"), asked, named, "item_id", "doc_id", "source", "doc_id", anchors=_anchors(spark, t), numbered=False)
+    rows = retrieve.search(chunks, _index(t), vectors, t("benchmark"), asked, named, "item_id", "doc_id", "source", "doc_id", anchors=_anchors(spark, t), numbered=False, store=Store(spark, "search"))
     blank = F.lit("")
     parts = {c: blank for c in ("title", "table_title", "section", "date", "period", "amount_unit")} | {"company": F.col("company"), "source": F.col("source"), "page_start": F.col("doc_id"), "page_end": F.col("doc_id")}
     ranks = {c: F.col(c).cast("long") for c in ("seat", "bm25_rank", "dense_rank", "anchor_rank")}
@@ -714,8 +721,6 @@ def title_fields(spark, t):
 @query()
 def streaming_ingest(spark, t):
     """Documents read as a stream, each content once, counted by source through micro-batches."""
-    from ..operators.scratch import folder
-
     docs = t("documents")
     root = folder(spark, "ingest")
     landed = docs.inputFiles()[0].rsplit("/", 1)[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dense, fusion, lexical, select
+from ..operators.scratch import Store
 
 
 class Settings(NamedTuple):
@@ -66,19 +67,20 @@ def named_companies(questions: DataFrame, companies: DataFrame, query: str, text
 
 
 def search(
-    chunks: DataFrame, index: lexical.Index, vectors: DataFrame, questions: DataFrame, asked: DataFrame, named: DataFrame, query: str = "query_id", key: str = "row", doc: str = "doc_id", seq: str = "seq", settings: Settings = Settings(), anchors: DataFrame | None = None, numbered: bool = True
+    chunks: DataFrame, index: lexical.Index, vectors: DataFrame, questions: DataFrame, asked: DataFrame, named: DataFrame, query: str = "query_id", key: str = "row", doc: str = "doc_id", seq: str = "seq", settings: Settings = Settings(), anchors: DataFrame | None = None, numbered: bool = True, store: Store | None = None
 ) -> DataFrame:
     """Seated hits of each question: the chunk's columns, score, channels, ranks of channels (null: no vote), seat.
 
     questions(query, text), asked(query, embedding), named(query, company, position), vectors(key, embedding).
-    Neighbours go first, then the document cap, from which anchored hits are safe, then seats are dealt.
+    With a store, the channels' pools are written once. Neighbours go first, then the document cap, from which anchored hits are safe, then seats are dealt.
     """
     settings = settings.clamped()
-    bm25 = lexical.search(index, questions, key, query, settings.pool)
-    near = dense.top(asked, vectors, settings.pool, query, key)
+    keep = store.put if store else lambda df, name: df
+    bm25 = keep(lexical.search(index, questions, key, query, settings.pool), "bm25")
+    near = keep(dense.top(asked, vectors, settings.pool, query, key), "near")
     lists = [fusion.votes(bm25, query, key), fusion.votes(near, query, key)]
     if anchors is not None:
-        anchored = anchor_channel(chunks, anchors, bm25, query, key, settings.pool, numbered)
+        anchored = keep(anchor_channel(chunks, anchors, bm25, query, key, settings.pool, numbered), "anchored")
         lists.append(fusion.votes(anchored, query, key))
         ranks = anchored.select(query, key, F.col("rank").alias("anchor_rank"), "anchor_hits")
     fused = fusion.fuse(lists, query, key)
@@ -86,6 +88,7 @@ def search(
     hits = hits.join(near.select(query, key, F.col("rank").alias("dense_rank"), F.col("sim").alias("dense_sim")), [query, key], "left")
     hits = hits.join(ranks, [query, key], "left") if anchors is not None else hits.withColumns({"anchor_rank": F.lit(None).cast("int"), "anchor_hits": F.lit(None).cast("long")})
     hits = hits.join(chunks, key)
+    hits = keep(hits, "hits")
     hits = select.drop_adjacent(hits, query, doc, seq, "rank", settings.gap)
     hits = select.cap_documents(hits, query, doc, "rank", settings.cap, F.col("anchor_rank").isNotNull())
     seated = select.seat(hits, named, settings.k, query, key)
