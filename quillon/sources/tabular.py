@@ -42,6 +42,12 @@ def names_from_urls(rows: DataFrame, url: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.coalesce(F.when(F.col(name) != "", F.col(name)), F.regexp_extract(url, r"([^/?#]*)(?:[?#].*)?$", 1)))
 
 
+def since(rows: DataFrame, name: str, least: int) -> DataFrame:
+    """Rows whose name has no year, or one from `least` on; adds `year`, 0 where there is none."""
+    year = F.coalesce(F.regexp_extract(name, "(20[0-9]{2})", 1).try_cast("int"), F.lit(0))
+    return rows.withColumn("year", year).where((F.col("year") == 0) | (F.col("year") >= least))
+
+
 def odd_dates(rules: DataFrame) -> DataFrame:
     """Adds `note` where a rule takes effect before it is published."""
     early = F.try_to_timestamp("effective_on").cast("date") < F.try_to_timestamp("publication_date").cast("date")
