@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
-TEXT_BLOCK = 8 << 20
+TEXT_BLOCK = 6 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -165,14 +165,19 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def trim(known: dict, most: int) -> None:
+    """Of a dictionary of over `most` entries, leaves the half that came first: common words come early."""
+    if len(known) > most:
+        first = list(itertools.islice(known.items(), most // 2))
+        known.clear()
+        known.update(first)
+
+
 class Known:
-    """Ids of words that were met before, in one array; beyond `most` words it starts anew."""
+    """Ids of words that were met before, in one array; of over `most` words the half that came first is kept."""
 
     def __init__(self, most: int):
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -192,7 +197,8 @@ class Known:
     def ids(self, index: np.ndarray, forms: list[str], learn: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words forms[index], one after the other, and the number of each; learn has those of a new word."""
         if len(self.place) > self.most:
-            self.clear()
+            trim(self.place, self.most)
+            self.used = int(self.start[len(self.place)])
         known = self.place.get
         at = np.fromiter([known(w, -1) for w in forms], np.int64, len(forms))
         new = np.flatnonzero(at < 0)
@@ -212,13 +218,13 @@ class Known:
 #: Stands for a missing doc_id: it comes first.
 LEAST = -(1 << 63)
 #: Rows of a bucket of neighbouring doc_ids, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 15
 
 
 def id_bounds(docs: DataFrame) -> np.ndarray:
     """Ascending lower bounds that cut doc_ids into about even buckets, at most MOST_BUCKETS; reads doc_id alone."""
     buckets = int(min(MOST_BUCKETS, max(1, docs.count() // BUCKET_ROWS)))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
+    cuts = docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] if buckets > 1 else None
     return np.unique(np.array(cuts or [], np.int64))
 
 

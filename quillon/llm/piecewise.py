@@ -20,7 +20,7 @@ from .common import Known, arrow_map, bytes_of, ragged, runs_of, texts_of
 
 SPACE = "▁"
 #: Segments that a worker keeps between batches.
-KEPT_SEGMENTS = 800_000
+KEPT_SEGMENTS = 700_000
 #: What a character that is no piece scores below the lowest piece.
 UNKNOWN = 10.0
 

@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LEAST, TEXT_BLOCK, id_bounds, texts_of, words_of
+from .common import LEAST, TEXT_BLOCK, id_bounds, texts_of, trim, words_of
 
 #: Words of a shingle, and the share 1 / SCALE of the hash range that a sketch keeps.
 WIDTH, SCALE = 5, 8
 #: Distinct words whose hashes a worker keeps between batches.
-KEPT_WORDS = 2_000_000
+KEPT_WORDS = 500_000
 #: Odd multipliers of the shingle hash and its finalizer.
 ROLL, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -36,8 +36,7 @@ def sketches(texts: pa.Array, width: int = WIDTH, scale: int = SCALE) -> list[np
     A text none of whose hashes is below the threshold keeps its least one, so that any text with words has a sketch.
     """
     index, forms, offsets = words_of(texts)
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
+    trim(_words, KEPT_WORDS)
     get, digest = _words.get, xxhash.xxh64_intdigest
     for w in forms:
         if get(w) is None:
