@@ -13,16 +13,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ragged, texts_of, words_of
+from .common import arrow_map, ragged, texts_of, trim, words_of
 
 #: The classifier is fitted on at most this many labelled documents, those of the least hash of doc_id.
 FIT_DOCUMENTS = 6000
 #: Hashed features (a power of two), lengths of word beginnings, and rounds of gradient descent.
-FEATURES, BEGINNINGS, ROUNDS = 1 << 20, range(3, 10), 120
+FEATURES, BEGINNINGS, ROUNDS = 1 << 18, range(3, 10), 120
 #: A feature counts if so many of the fitted documents have it, and toxic ones this many times as often as all do.
 SEEN_IN, LIFT = 5, 1.5
 #: Distinct words whose scores a worker keeps between batches.
-KEPT_WORDS = 2_000_000
+KEPT_WORDS = 500_000
 #: Sentences end with a word that ends so, or with a line.
 ENDS, LINE = (".", "!", "?"), "\x1e"
 LETTERS = regex.compile(r"\p{L}+")
@@ -60,6 +60,12 @@ def sentences_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np
     return index, forms, sentence, np.concatenate(([0], np.cumsum(begins)))[offsets].reshape(n + 1)
 
 
+def once(index: np.ndarray, sentence: np.ndarray, forms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once a sentence."""
+    pair = np.unique(sentence.astype(np.int64) * forms + index)
+    return pair % forms, pair // forms
+
+
 def expit(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -z))
 
@@ -86,13 +92,21 @@ def _document_counts(index: np.ndarray, doc: np.ndarray, flat: np.ndarray, wide:
 def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1, lasso: float = 2e-5) -> Model:
     """Weights that maximise the likelihood of the labels; Adam on all texts together, so the result is always the same.
 
-    Weights are zero or more: words are evidence of toxicity or none, and no number of harmless words outweighs it.
+    Weights are zero or more: words are evidence of toxicity or none, and no number of harmless words outweighs it. A
+    word counts once a sentence, however often it is repeated there.
     """
     weights, bias = np.zeros(FEATURES), -5.0
     if not len(texts) or labels.all() or not labels.any():
         return Model(weights.astype(np.float32), bias)
-    index, forms, sentence, offsets = sentences_of(pa.array(texts, pa.large_string()))
-    sentence = sentence.astype(np.int32)
+    place, parts = {}, []
+    for begin in range(0, len(texts), 256):  # a few texts at a time, so that no array is as long as all of them
+        index, forms, sentence, offsets = sentences_of(pa.array(texts[begin : begin + 256], pa.large_string()))
+        own = np.array([place.setdefault(f, len(place)) for f in forms], np.int32)
+        parts.append((own[index], sentence.astype(np.int32), np.diff(offsets)))
+    sizes = np.cumsum([0, *[int(n.sum()) for _, _, n in parts]])
+    index, sentence, offsets = np.concatenate([x for x, _, _ in parts]), np.concatenate([x + k for (_, x, _), k in zip(parts, sizes.tolist())]), np.cumsum(np.concatenate([[0], *[n for _, _, n in parts]]))
+    forms = list(place)
+    del place, parts
     flat, wide = array.array("i"), array.array("i")
     for f in forms:
         some = features(f)
@@ -107,7 +121,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
     useful = ((seen[0] >= SEEN_IN) & (seen[1] >= LIFT * y.mean() * seen[0]))[flat]
     flat, owner = flat[useful], owner[useful]
     told = (np.bincount(owner, minlength=n_forms) > 0)[index]  # words without such a feature have no part in what follows
-    index, sentence = index[told], sentence[told]
+    index, sentence = once(index[told], sentence[told], n_forms)
     del told, useful
     slow, fast, slow_b, fast_b = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for k in range(1, rounds + 1):
@@ -161,15 +175,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, threshol
 
     def each(batch):
         index, forms, sentence, offsets = sentences_of(texts_of(batch, "text"))
-        if len(_scores) > KEPT_WORDS:
-            _scores.clear()
+        trim(_scores, KEPT_WORDS)
         get = _scores.get
         for f in forms:
             if get(f) is None:
                 _scores[f] = sum([_weights[x] for x in features(f)])
         word = np.fromiter((_scores[f] for f in forms), float, len(forms))
         n = int(offsets[-1])
-        z = shared.value.bias + (np.bincount(sentence, word[index], n) if n else np.zeros(0))
+        told = (word > 0)[index]  # few words: the others say nothing
+        one, of = once(index[told], sentence[told], max(1, len(forms)))
+        z = shared.value.bias + (np.bincount(of, word[one], n) if n else np.zeros(0))
         score = np.clip(-np.expm1(noisy_or(z, offsets)), 0, 1)
         bad = expit(z) >= threshold
         upto = np.concatenate(([0], np.cumsum(bad)))
