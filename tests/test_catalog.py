@@ -17,7 +17,10 @@ def test_runs(spark, data, name):
 
 def test_plans(spark, data):
     """Top-k by group is limited before the window's sort; filters reach the scan."""
-    plan = catalog.QUERIES["bm25_top10"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    from quillon.operators import lexical
+
+    docs, asked = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    plan = lexical.search(lexical.build(docs, "doc_id"), asked, "doc_id", "item_id", 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     read = spark.read.parquet(f"{data}/documents.parquet").where("source = 'src1'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in read
