@@ -125,4 +125,12 @@ _URL_SQL = r"""
         best is null and l.key is not null as listed
     from j left join l on j.key = l.key"""
 
-SQL = {"op2_url_filters": _URL_SQL, "op5_secrets": _secrets_sql(), "op10_line_dedup": _LINES_SQL}
+#: All pairs; the operator finds those that share a filter, so on tables with many links near 0.95 it may find a few less.
+_CAPS_SQL = """
+    with recursive e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(embedding) > 0 and list_bool_and([x is not null and isfinite(x) for x in embedding]) and list_bool_or([x <> 0 for x in embedding])),
+    n as (select vec_id, v, sqrt(list_dot_product(v, v)) as size from e),
+    l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+    r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a)
+    select a as vec_id, (select count(*) from l where l.a = r.a) as n_links, min(b) as component_id, a = min(b) as kept from r group by a"""
+
+SQL = {"op2_url_filters": _URL_SQL, "op3_embeddings": _CAPS_SQL, "op5_secrets": _secrets_sql(), "op10_line_dedup": _LINES_SQL}
