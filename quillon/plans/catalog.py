@@ -470,14 +470,14 @@ def hash_verify(spark, t):
 @query(
     """with f as (select *, doc_id || case when n_chars > 2000 then '（更新后）' else '' end as name, case when n_chars > 2000 then '更新后' else '原件' end as v, doc_id // 4 as y from documents),
     j as (select a.lang as company, a.source as kind, a.y as year, a.name, b.name as other, sha256(a.text) = sha256(b.text) as same_bytes, a.n_chars = b.n_chars as same_pages,
-        row_number() over (partition by a.lang, a.source, a.y, a.name order by coalesce(a.v = b.v, false) desc, b.name) as k from f a left join f b on a.lang = b.lang and a.source = b.source and a.y = b.y and b.doc_id > 100)
+        row_number() over (partition by a.lang, a.source, a.y, a.name order by coalesce(a.v = b.v, false) desc, b.name) as k from f a left join f b on a.lang = b.lang and a.source = b.source and a.y = b.y and b.n_chars > 300)
     select company, kind, year, name, coalesce(other, '') as other, coalesce(same_bytes::varchar, 'none') as same_bytes, coalesce(same_pages::varchar, 'none') as same_pages from j where k = 1"""
 )
 def crosscheck_versions(spark, t):
     """Files of one channel beside those of another, version tags first."""
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("n_chars") > 2000, "（更新后）").otherwise(""))
-    rows = t("documents").select(F.col("lang").alias("company"), F.col("source").alias("kind"), F.floor(F.col("doc_id") / 4).alias("year"), name.alias("name"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("pages"), "doc_id")
-    found = audit.cross_check(rows.drop("doc_id"), rows.where("doc_id > 100").drop("doc_id"))
+    rows = t("documents").select(F.col("lang").alias("company"), F.col("source").alias("kind"), F.floor(F.col("doc_id") / 4).alias("year"), name.alias("name"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("pages"))
+    found = audit.cross_check(rows, rows.where("pages > 300"))
     return found.withColumns({"other": F.coalesce("other", F.lit(""))} | {c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("same_bytes", "same_pages")})
 
 
