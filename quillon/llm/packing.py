@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, ragged, texts_of
 from .wordbpe import WordEncoder
 
-#: Pieces of one length that are ranked in one task.
-RANKED = 100_000
+#: Pieces of one length that are ranked together.
+RANKED = 1000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
@@ -73,10 +73,13 @@ def plan(counts: dict[int, int], capacity: int, linear: float, quadratic: float)
     return np.array(runs, np.int64).reshape(-1, 5)
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """Adds `rank`, 0 and up within each length by a hash bucket, doc_id, start and checksum; no length meets in one task."""
-    most = found.groupBy("length").count().agg(F.max("count")).first()[0] or 0
-    found = found.withColumn("__b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 + most // RANKED)))
+def ranked(spark: SparkSession, found: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds `rank`, 0 and up within each length by a hash bucket, doc_id, start and checksum.
+
+    A length has a bucket for each RANKED of its pieces, so no length meets in one task.
+    """
+    buckets = spark.createDataFrame([(k, 1 + n // RANKED) for k, n in counts.items()], "length long, __of long")
+    found = found.join(F.broadcast(buckets), "length").withColumn("__b", F.pmod(F.xxhash64("doc_id", "start"), F.col("__of"))).drop("__of")
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = found.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     own = Window.partitionBy("length", "__b").orderBy("doc_id", "start", "ids_crc32")
@@ -110,4 +113,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
 
     names = found.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return ranked(found).select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked(spark, found, counts).select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
