@@ -14,7 +14,7 @@ from .common import Scratch, arrow_map, ragged, texts_of
 from .wordbpe import WordEncoder
 
 #: Pieces of one length that are ranked together.
-RANKED = 1000
+RANKED = 250
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
