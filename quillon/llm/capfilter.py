@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, groups_of, lowest, paired_units, ragged
 
-#: Filters that a vector passes on average, vectors of a filter on average, vectors of one block of a large filter.
-PASSED, IN_FILTER, BLOCK = 20, 128, 512
+#: Independent codes, filters of each that a vector passes on average, vectors of a filter on average, vectors of one
+#: block of a large filter. Some directions pass few filters of a code, and a group of copies there would be lost; that
+#: one is lost in all codes is far less likely.
+CODES, PASSED, IN_FILTER, BLOCK = 4, 8, 128, 512
 #: Pairs that are verified together.
 PAIRS = 1 << 14
 #: Partial choices of codes that list decoding looks at together.
@@ -32,7 +34,7 @@ SLACK = 1e-5
 class Code:
     """A product code for n vectors of `dims` numbers."""
 
-    def __init__(self, dims: int, n: int, seed: int = 20):
+    def __init__(self, dims: int, n: int, seed: int = 0):
         rng = np.random.default_rng([seed, dims])
         filters = max(8 * PASSED, PASSED * n // IN_FILTER)
         self.parts = max(1, min(dims, 2 if filters <= 1 << 16 else 3 if filters <= 1 << 24 else 4))
@@ -85,7 +87,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _with_filters(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
+def decode_all(codes: list[Code], unit: np.ndarray) -> list[np.ndarray]:
+    """The filters of all codes, numbered one code after the other, that each unit vector passes, ascending."""
+    found = [c.decode(unit) for c in codes]
+    return [np.concatenate([f[k] + i * c.size**c.parts for i, (c, f) in enumerate(zip(codes, found))]) for k in range(len(unit))]
+
+
+def _with_filters(classes: DataFrame, codes: dict[int, list[Code]]) -> DataFrame:
     """classes with `filters`, the filters that each passes, ascending."""
     names = classes.columns
 
@@ -94,11 +102,11 @@ def _with_filters(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
             dims = batch.column("dims").to_numpy()
             for d in np.unique(dims):
                 code, own = codes[int(d)], np.flatnonzero(dims == d)
-                step = max(16, DECODED // code.size**2)
+                step = max(16, DECODED // code[0].size ** 2)
                 for k in range(0, len(own), step):
                     some = batch.take(pa.array(own[k : k + step]))
                     x = _matrix(some.column("vector"))
-                    found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    found = decode_all(code, x / np.linalg.norm(x, axis=1, keepdims=True))
                     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=[*names, "filters"])
 
@@ -178,7 +186,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95
     sound = sound.withColumns({"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), F.col("vector"))})
     classes = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = scratch.put(classes.withColumn("rep", F.coalesce("least", "k1")).withColumn("dims", F.size("vector")), "classes")
-    codes = {r["dims"]: Code(r["dims"], r["n"]) for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each number of dimensions
+    codes = {r["dims"]: [Code(r["dims"], r["n"], k) for k in range(CODES)] for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each number of dimensions
     passed = scratch.put(_with_filters(classes.select("dims", "rep", "copies", "vector"), codes), "passed")
     units = paired_units(passed.withColumn("filter", F.explode("filters")), ["dims", "filter"], "rep", BLOCK, scratch)
     keys = ["dims", "filter", "tree_no", "probe_no"]
