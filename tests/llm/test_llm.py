@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import capfilter, common, huffman, linededup, packing, piecewise, queries, secrets, simhash, sketch, toxicity, urlfilter, wordbpe
+from quillon.llm import capfilter, common, huffman, jaccard, linededup, packing, piecewise, queries, secrets, simhash, sketch, toxicity, urlfilter, wordbpe
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -548,6 +548,38 @@ def test_pipeline(spark, data, duck):
     assert n > 0
 
 
+def brute_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_shingles_of_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array([f"Alpha{k} beta GAMMA{k} d e f{k}" for k in range(10)])], names=["text"])
+    hashed = lambda b: jaccard.nodes(*jaccard.shingles(common.texts_of(b, "text"))).tolist()
+    assert hashed(batch.slice(4, 3)) == hashed(batch)[4:7] and len(set(hashed(batch))) == 10
+
+
+def test_pipeline_near_duplicates_by_jaccard(spark, data, monkeypatch):
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    texts = ["", "one two", "One  TWO", "one two three"] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 300))) for _ in range(40)]
+    for t in texts[4:]:
+        for share in (0.01, 0.02, 0.03, 0.05):
+            texts.append(" ".join(f"v{rng.randrange(3000)}" if rng.random() < share else w for w in t.split()))
+    texts += [" ".join([*texts[4].split(), f"x{k}", f"y{k}"]) for k in range(60)]
+    sets = [brute_shingles(t) for t in texts]
+    like = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    roots = brute_components(sets, like)
+    assert len(set(roots)) < len(texts) - 100 and sum((brute_fingerprint(texts[k]) ^ brute_fingerprint(texts[r])).bit_count() > 4 for k, r in enumerate(roots)) > 20
+    docs = spark.createDataFrame([(k, t, None, "s", None) for k, t in enumerate(texts)], SCHEMA).repartition(5)
+    for block, star in ((256, 512), (8, 8)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "STAR", star)
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark, docs).collect()} == dict(enumerate(roots))
+        assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, data).collect()) == sorted(set(roots))
+
+
 def test_pipeline_stages_odd(spark, odd, empty, data):
     import corpus_pipeline as P
 
