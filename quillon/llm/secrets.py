@@ -30,10 +30,16 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
+#: A private key goes from BEGIN to the next END line. Without one, it goes on over header lines to the end of the last
+#: long run of base64 that nothing but base64, white space and backslashes (of written line ends) comes before, with a
+#: shorter last line and a checksum. Bodies are runs of one class, since Java goes a level deeper for each repeated group.
+_LABEL = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_HEADERS = r"(?:[\x20\t\r\n]*[A-Za-z-]+: [^\n]*\n){0,64}"
+_BODY = r"[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{20,}(?:\r?\n[A-Za-z0-9+/]{1,19}={0,2})?(?:\r?\n=[A-Za-z0-9+/]{4})?"
 #: What this scan adds to them.
 MORE = (
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,256}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", 2, rf"-----BEGIN {_LABEL}(?:[\s\S]*?-----END {_LABEL}|{_HEADERS}{_BODY})?"),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", 1, r"[Bb]earer\x20{1,4}[A-Za-z0-9+/_.=-]{16,}"),
 )
 

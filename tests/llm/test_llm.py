@@ -374,6 +374,36 @@ def test_redact(spark, tmp_path):
             assert got[k].text == out + t[at:]
 
 
+def test_whole_keys_and_long_tokens_are_hidden(spark, tmp_path, duck):
+    rng = random.Random(3)
+    b64 = lambda n: "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+    texts, inner = [], []
+    for label in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n", "Version: X v1-2\n\n"):
+            for end in (f"-----END {label}-----", ""):
+                body = [b64(64) for _ in range(30)] + [b64(10) + "=="]
+                texts.append(f"é before\n-----BEGIN {label}-----\n{head}" + "\n".join(body) + f"\n{end}\n. after it")
+                inner.append([*body, *([end] if end else [])])
+    lines = [b64(64) for _ in range(20_000)]
+    texts += ["x -----BEGIN EC PRIVATE KEY-----\n" + "\n".join(lines), "BEGIN here: -----BEGIN PRIVATE KEY----- is a line. Words stay."]
+    inner += [lines, []]
+    token = f"eyJ{b64(3000)}.eyJ{b64(40)}.{b64(40)}".replace("+", "-").replace("/", "_")
+    texts.append(f"a {token} b")
+    inner.append([token])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ledger = secrets.Ledger(spark, str(tmp_path / "l"))
+    spans = {r.doc_id: r.spans for r in secrets.scan_documents(spark, docs, ledger).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(docs, ledger).collect()}
+    for k, hidden in enumerate(inner):
+        assert "[secret]" in got[k] and not any(x in got[k] for x in hidden)
+    assert all(got[k] == "é before\n[secret]\n. after it" or got[k] == "é before\n[secret]\n\n. after it" for k in range(18))
+    assert got[19] == "BEGIN here: [secret] is a line. Words stay." and got[20] == "a [secret] b"
+    for r in secrets.MORE[:2]:  # the engine of the SQL finds the same
+        for k in (0, 1, 3, 17, 19, 20):
+            m = duck.execute("select regexp_extract_all(?, ?)", [texts[k], r.pattern]).fetchone()[0]
+            assert [f"{r.kind}:{texts[k].index(x)}:{texts[k].index(x) + len(x)}" for x in m] == [x for x in spans[k].split(",") if x.startswith(r.kind)]
+
+
 # ---------------------------------------------------------------- 6 sketches
 
 
