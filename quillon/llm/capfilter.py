@@ -1,78 +1,168 @@
 """Embedding near-duplicates through spherical-cap filters from structured random product codes.
 
-A unit vector is cut into parts; each part has a random codebook of unit vectors. A filter is one code of each part;
-its direction is the parts' codes side by side. A vector passes a filter if its inner product with the direction
-reaches a threshold. List decoding finds all passed filters without going through the product: the best sum of the
-remaining parts bounds what a partial choice can still reach. Vectors meet in the filters that they share.
+A unit vector, less the corpus's mean, is turned and cut into two halves; each half has a random codebook of unit
+vectors. A filter is one code of each half; its direction is the two codes side by side. A vector passes a filter if its
+inner product with the direction reaches a threshold. List decoding finds all passed filters without going through the
+product: the best code of the one half bounds which codes of the other can still reach. Vectors meet in the filters
+that they share, and are compared as they are, without the mean taken off.
 """
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, groups_of, lowest, paired_units, ragged
 
-#: Independent codes, filters of each that a vector passes on average, vectors of a filter on average, vectors of one
-#: block of a large filter. Some directions pass few filters of a code, and a group of copies there would be lost; that
-#: one is lost in all codes is far less likely.
-CODES, PASSED, IN_FILTER, BLOCK = 4, 8, 128, 512
+#: Filters of a code that a vector passes on average, and at least (its best ones, if fewer reach the threshold), vectors
+#: of a filter on average, vectors of one block of a large filter.
+PASSED, FEWEST, IN_FILTER, BLOCK = 8, 4, 128, 512
+#: Vectors that thresholds, mean and recall are taken from; pairs at the least cosine made of them; the share of those
+#: that must meet; and independent codes: some directions are poor in one code, far fewer in several.
+SAMPLE, TRIED, RECALL, CODES = 2048, 1024, 0.998, range(4, 13)
 #: Pairs that are verified together.
 PAIRS = 1 << 14
-#: Partial choices of codes that list decoding looks at together.
-DECODED = 1 << 22
+#: Scores, or sums of two, that list decoding looks at together.
+DECODED = 1 << 21
 #: What rounding of single precision may take from a cosine.
 SLACK = 1e-5
 
 
 class Code:
-    """A product code for n vectors of `dims` numbers."""
+    """A product code for n vectors, with its threshold from a sample of them (unit length, in rows)."""
 
-    def __init__(self, dims: int, n: int, seed: int = 0):
+    def __init__(self, n: int, sample: np.ndarray, seed: int = 0):
+        dims = sample.shape[1]
         rng = np.random.default_rng([seed, dims])
-        filters = max(8 * PASSED, PASSED * n // IN_FILTER)
-        self.parts = max(1, min(dims, 2 if filters <= 1 << 16 else 3 if filters <= 1 << 24 else 4))
-        self.size = max(2, math.ceil(filters ** (1 / self.parts)))
+        self.size = math.ceil(math.sqrt(PASSED * n / IN_FILTER)) if n > IN_FILTER else 1
         self.turn = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        self.cuts = [dims * k // self.parts for k in range(self.parts + 1)]
-        books = [rng.standard_normal((self.size, b - a)) for a, b in zip(self.cuts, self.cuts[1:])]
-        self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) / math.sqrt(self.parts) for b in books]
-        share = min(0.5, PASSED / self.size**self.parts)
-        self.least = self._threshold(rng, dims, share)
-
-    def _threshold(self, rng: np.random.Generator, dims: int, share: float) -> float:
-        """The inner product that `share` of the filters reach, over random vectors: a normal tail, then a measured correction."""
-        guess = NormalDist().inv_cdf(1 - share) / math.sqrt(dims)
-        x = rng.standard_normal((256, dims))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        low, high = 0.0, 2 * guess + 1e-9
-        for _ in range(20):
-            mid = (low + high) / 2
-            self.least = mid
-            many = sum(map(len, self.decode(x))) / len(x)
-            low, high = (mid, high) if many > PASSED else (low, mid)
+        self.half = -(-dims // 2)
+        books = [rng.standard_normal((d, self.size if d else 1)) for d in (self.half, dims - self.half)]
+        self.books = [b / np.maximum(np.linalg.norm(b, axis=0), 1e-300) / math.sqrt(2) for b in books]
+        self.filters = self.books[0].shape[1] * self.books[1].shape[1]
+        self.least = -math.inf if self.filters <= FEWEST else self._threshold(sample[:512])
+
+    def _threshold(self, sample: np.ndarray) -> float:
+        """The inner product that PASSED filters of a sampled vector reach on average."""
+        low, high = -1.0, 1.0
+        step = max(16, self.step // 4)
+        scores = [self._scores(sample[k : k + step]) for k in range(0, len(sample), step)]
+        for _ in range(16):
+            self.least = (low + high) / 2
+            left = min(PASSED, self.filters / 2) * len(sample)
+            for a, b in scores:
+                if (left := left - self._reach(a, b, 2 * DECODED)) < 0:
+                    break
+            low, high = (self.least, high) if left < 0 else (low, self.least)
         return (low + high) / 2
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """The filters that each unit vector passes, ascending."""
+    @property
+    def step(self) -> int:
+        """Vectors that are decoded together."""
+        return max(16, DECODED // min(self.filters, 1 << 14))
+
+    def _scores(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = unit @ self.turn
-        scores = [turned[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
-        rest = np.zeros((len(unit), self.parts + 1))
-        for k in reversed(range(self.parts)):
-            rest[:, k] = rest[:, k + 1] + scores[k].max(1)
-        row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-        for k, s in enumerate(scores):
-            reach = total[:, None] + s[row] + rest[row, k + 1, None]
-            at, chosen = np.nonzero(reach >= self.least)
-            row, code, total = row[at], code[at] * self.size + chosen, total[at] + s[row[at], chosen]
-        cuts = np.searchsorted(row, np.arange(len(unit) + 1))
-        return [np.sort(code[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return turned[:, : self.half] @ self.books[0], turned[:, self.half :] @ self.books[1]
+
+    def _candidates(self, a: np.ndarray, b: np.ndarray):
+        """(row, code) of each half that the best code of the other half can lift to the threshold; the number of pairs of them for each of the first."""
+        left, right = np.nonzero(a >= self.least - b.max(1)[:, None]), np.nonzero(b >= self.least - a.max(1)[:, None])
+        cuts = np.searchsorted(right[0], np.arange(len(a) + 1))
+        return left, right, cuts[left[0]], np.diff(cuts)[left[0]]
+
+    def _reach(self, a: np.ndarray, b: np.ndarray, most: int) -> int:
+        """How many filters the vectors pass; at `most` pairs of codes or more, that number."""
+        _, _, _, many = self._candidates(a, b)
+        return most if many.sum() >= most else len(self._hits(a, b)[0])
+
+    def _hits(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) that reach the threshold, by row."""
+        (row, first), (_, second), start, many = self._candidates(a, b)
+        if many.sum() > 2 * DECODED and len(a) > 1:
+            half = len(a) // 2
+            (r1, f1), (r2, f2) = self._hits(a[:half], b[:half]), self._hits(a[half:], b[half:])
+            return np.concatenate((r1, r2 + half)), np.concatenate((f1, f2))
+        i, j = np.repeat(np.arange(len(row)), many), ragged(start, many)
+        row, first, second = row[i], first[i], second[j]
+        ok = a[row, first] + b[row, second] >= self.least
+        return row[ok], first[ok].astype(np.int64) * b.shape[1] + second[ok]
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of all filters that each vector passes, by row and filter; its FEWEST best if those are fewer."""
+        a, b = self._scores(unit)
+        row, found = self._hits(a, b)
+        few = np.flatnonzero(np.bincount(row, minlength=len(unit)) < min(FEWEST, self.filters))
+        if len(few):
+            x, y = (np.argsort(-s[few], axis=1, kind="stable")[:, :FEWEST] for s in (a, b))
+            sums = (np.take_along_axis(a[few], x, 1)[:, :, None] + np.take_along_axis(b[few], y, 1)[:, None, :]).reshape(len(few), -1)
+            best = np.argsort(-sums, axis=1, kind="stable")[:, :FEWEST]
+            own = np.take_along_axis((x[:, :, None].astype(np.int64) * b.shape[1] + y[:, None, :]).reshape(len(few), -1), best, 1)
+            other = ~np.isin(row, few)
+            row, found = np.concatenate((row[other], np.repeat(few, own.shape[1]))), np.concatenate((found[other], own.ravel()))
+        order = np.lexsort((found, row))
+        return row[order], found[order]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; zeros stay."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
+
+class Filters:
+    """The codes for n vectors of which `sample` are some: as many as let pairs at the least cosine meet.
+
+    Sampled vectors and others at the least cosine from them, in random directions, are decoded; codes are added until
+    the share RECALL of the pairs meets. Where the last of CODES does not reach it, as for vectors that all lie close
+    together, codes for fewer, larger filters are tried; with one filter every pair meets.
+    """
+
+    def __init__(self, n: int, sample: np.ndarray, least: float):
+        unit = _unit(sample)
+        self.mean = unit.mean(0) if n > IN_FILTER else np.zeros(sample.shape[1])
+        rng = np.random.default_rng(n % (1 << 32))
+        x = unit[np.resize(np.arange(len(unit)), TRIED)]
+        away = rng.standard_normal(x.shape)
+        away = _unit(away - (away * x).sum(1, keepdims=True) * x)
+        y = least * x + math.sqrt(max(0, 1 - least * least)) * away
+        x, y, centred = self.centred(x), self.centred(y), self.centred(unit)
+        planned = n
+        while True:
+            self.codes, met = [], np.zeros(TRIED, bool)
+            for k in range(CODES.stop - 1):
+                code = Code(planned, centred, k)
+                self.codes.append(code)
+                for at in range(0, TRIED, code.step):
+                    both = [code.decode(v[at : at + code.step]) for v in (x, y)]
+                    keys = [row * code.filters + found for row, found in both]
+                    met[at + np.intersect1d(*keys) // code.filters] = True
+                self.recall = float(met.mean())
+                if code.filters == 1 or (len(self.codes) >= CODES.start and self.recall >= RECALL):
+                    return
+                if len(self.codes) >= CODES.start and (1 - self.recall) ** ((CODES.stop - 1) / len(self.codes)) > 1 - RECALL:
+                    break  # codes of this size would not do it
+            planned //= 8
+
+    def centred(self, unit: np.ndarray) -> np.ndarray:
+        return _unit(unit - self.mean)
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of the vectors x, by row and filter; filters are numbered one code after the other."""
+        unit, rows, found, base = self.centred(_unit(x)), [], [], 0
+        for code in self.codes:
+            for k in range(0, len(unit), code.step):
+                row, own = code.decode(unit[k : k + code.step])
+                rows.append(row + k)
+                found.append(own + base)
+            base += code.filters
+        row, found = np.concatenate(rows), np.concatenate(found)
+        order = np.argsort(row, kind="stable")
+        return row[order], found[order]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -87,44 +177,42 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def decode_all(codes: list[Code], unit: np.ndarray) -> list[np.ndarray]:
-    """The filters of all codes, numbered one code after the other, that each unit vector passes, ascending."""
-    found = [c.decode(unit) for c in codes]
-    return [np.concatenate([f[k] + i * c.size**c.parts for i, (c, f) in enumerate(zip(codes, found))]) for k in range(len(unit))]
-
-
-def _with_filters(classes: DataFrame, codes: dict[int, list[Code]]) -> DataFrame:
+def _with_filters(spark: SparkSession, classes: DataFrame, filters: dict[int, Filters]) -> DataFrame:
     """classes with `filters`, the filters that each passes, ascending."""
-    names = classes.columns
+    names, shared = classes.columns, spark.sparkContext.broadcast(filters)
 
     def run(batches):
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             for d in np.unique(dims):
-                code, own = codes[int(d)], np.flatnonzero(dims == d)
-                step = max(16, DECODED // code[0].size ** 2)
-                for k in range(0, len(own), step):
-                    some = batch.take(pa.array(own[k : k + step]))
-                    x = _matrix(some.column("vector"))
-                    found = decode_all(code, x / np.linalg.norm(x, axis=1, keepdims=True))
-                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=[*names, "filters"])
+                own = np.flatnonzero(dims == d)
+                for k in range(0, len(own), 2048):
+                    some = batch.take(pa.array(own[k : k + 2048]))
+                    row, found = shared.value[int(d)].decode(_matrix(some.column("vector")))
+                    ends = np.searchsorted(row, np.arange(some.num_rows + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], names=[*names, "filters"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
     return classes.mapInArrow(run, f"{schema}, filters array<long>")
 
 
-def _padded(column: pa.Array) -> np.ndarray:
-    """Lists as rows, filled up with the largest number."""
-    n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.full((len(n), max(1, int(n.max(initial=0)))), np.iinfo(np.int64).max)
-    out[np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)] = column.flatten().to_numpy(zero_copy_only=False)
-    return out
+class _Lists:
+    """The filters of each row of a unit, for asking which of two rows' common filters comes first."""
 
+    def __init__(self, column: pa.Array):
+        n = np.diff(np.asarray(column.offsets)).astype(np.int64)
+        self.forms, self.flat = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        self.start = np.cumsum(n) - n
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.keys = self.row * len(self.forms) + self.flat  # ascending
 
-def _first_common(a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
-    """Whether `own` is the first filter that rows of a and b (padded lists of filters) have in common."""
-    return ~((a[:, :, None] == b[:, None, :]) & (a < own)[:, :, None]).any((1, 2))
+    def first(self, a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
+        """Whether `own` is the first filter that rows a and b have in common."""
+        below = np.bincount(self.row[self.flat < np.searchsorted(self.forms, own)], minlength=len(self.start))[a]
+        pair = np.repeat(np.arange(len(a)), below)
+        asked = b[pair] * len(self.forms) + self.flat[ragged(self.start[a], below)]
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.bincount(pair[self.keys[at] == asked], minlength=len(a)) == 0
 
 
 def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
@@ -148,7 +236,7 @@ def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
         i, j = i[once], j[once]
         if not len(i):
             continue
-        padded = _padded(whole.column("filters").slice(lo, hi - lo).combine_chunks())
+        lists = _Lists(whole.column("filters").slice(lo, hi - lo).combine_chunks())
         own, many = rep[lo:hi], copies[lo:hi]
         parent, n = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
         for k in range(0, len(i), PAIRS):
@@ -156,7 +244,7 @@ def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
             sure = np.einsum("nd,nd->n", x[a], x[b]) >= least
             a, b = a[sure], b[sure]
             parent = lowest(parent, a, b)
-            first = _first_common(padded[a], padded[b], int(keys[lo, 1]))
+            first = lists.first(a, b, int(keys[lo, 1]))
             np.add.at(n, a[first], many[b[first]])
             np.add.at(n, b[first], many[a[first]])
         tied, some = np.flatnonzero(parent != np.arange(hi - lo)), np.flatnonzero(n)
@@ -168,12 +256,29 @@ def _verify(whole: pa.Table, least: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n, mask=n < 0), pa.array(root, mask=n >= 0)], names=["rep", "n", "root"])
 
 
+def fit(classes: DataFrame, least: float) -> dict[int, Filters]:
+    """The filters for each number of dimensions of classes(k1, dims, vector), from about SAMPLE vectors of the least hashes of k1.
+
+    The sample comes to the driver, a bounded number of rows for each number of dimensions.
+    """
+    counts = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(1 << 30, (SAMPLE << 30) // n))])
+    rows = classes.where(F.pmod(F.xxhash64("k1"), F.lit(1 << 30)) < share[F.col("dims")]).select("k1", "dims", "vector").collect()
+    found: dict[int, list] = {d: [] for d in counts}
+    for r in sorted(rows, key=lambda r: r["k1"]):
+        found[r["dims"]].append(r["vector"])
+    # of few vectors none may be in the sample: any others do for a table that small
+    return {d: Filters(n, np.array(found[d] or np.ones((1, d)), float), least) for d, n in counts.items()}
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding).
 
-    n_links: other rows whose cosine, in double precision, is `least` or more and that share a filter (recall is
-    measured in the tests); component_id: the smallest vec_id that links reach, itself included; kept: vec_id is
-    component_id. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
+    n_links: other rows whose cosine, in double precision, is `least` or more and that share a filter (of pairs at just
+    that cosine RECALL do, measured for the table's size and a sample of its vectors; closer ones do more surely);
+    component_id: the smallest vec_id that links reach, itself included; kept: vec_id is component_id. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
     vectors link within their number of dimensions only. Equal vectors are one class that is compared once; repeated
     rows are copies. Rows of one vec_id with different vectors pool their links. Rows without a vec_id link too; their
     component_id is null where they reach no row that has one.
@@ -186,8 +291,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95
     sound = sound.withColumns({"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), F.col("vector"))})
     classes = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = scratch.put(classes.withColumn("rep", F.coalesce("least", "k1")).withColumn("dims", F.size("vector")), "classes")
-    codes = {r["dims"]: [Code(r["dims"], r["n"], k) for k in range(CODES)] for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each number of dimensions
-    passed = scratch.put(_with_filters(classes.select("dims", "rep", "copies", "vector"), codes), "passed")
+    passed = scratch.put(_with_filters(spark, classes.select("dims", "rep", "copies", "vector"), fit(classes, least)), "passed")
     units = paired_units(passed.withColumn("filter", F.explode("filters")), ["dims", "filter"], "rep", BLOCK, scratch)
     keys = ["dims", "filter", "tree_no", "probe_no"]
 
