@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -77,48 +78,73 @@ def scan(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 class Ledger:
-    """Two tables in a folder: scanned (blob, rules) and findings (blob, kind, kind_no, start, end, rule).
+    """What was scanned, kept in a folder that jobs come back to.
 
-    Each run is a subfolder that is written whole, so a run that broke off leaves nothing that a later one reads.
+    A run is a subfolder of its own with three tables: paths (path, blob), every version that was shown to the ledger;
+    findings (blob, kind, kind_no, start, end, rule); scanned (blob, rules). A run counts once its mark is there, which
+    is written last: one that broke off leaves nothing that is read, and may be done again. Runs at the same time may
+    scan a blob twice; findings are listed once.
     """
 
+    MARK = "_DONE"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.runs: list[str] = []
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def runs(self) -> list[str]:
+        """The folders of the runs that are whole."""
+        if not self._fs.exists(self._root):
+            return []
+        below = sorted(f.getPath().toString() for f in self._fs.listStatus(self._root) if f.isDirectory())
+        of = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [x for x in below if self._fs.exists(of(x, self.MARK))]
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.runs:
+        found = self.runs()
+        if not found:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{r}/{name}" for r in self.runs])
+        return self.spark.read.schema(schema).parquet(*[f"{r}/{name}" for r in found])
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", "blob string, rules array<string>")
 
     def findings(self) -> DataFrame:
-        return self._read("findings", "blob string, kind string, kind_no int, start long, end long, rule string")
+        return self._read("findings", "blob string, kind string, kind_no int, start long, end long, rule string").distinct()
+
+    def paths(self) -> DataFrame:
+        """(path, blob): each content that each path has ever had."""
+        return self._read("paths", "path string, blob string").distinct()
+
+    def located(self) -> DataFrame:
+        """The findings in all versions of all paths."""
+        return self.paths().join(self.findings(), "blob")
 
     def unseen(self, versions: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-        """(blob, text, todo): each content of versions(blob, text) once, with the rules that it has not met."""
+        """(blob, text, todo): each content of versions(blob, text) once, with the rules that it has not met.
+
+        What was scanned is taken away before texts are shuffled.
+        """
         names = F.array(*[F.lit(r.name) for r in rules])
-        blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-        if not self.runs:
-            return blobs.withColumn("todo", names)
+        once = lambda df, *by: df.groupBy("blob", *by).agg(F.first("text").alias("text"))
+        if not self.runs():
+            return once(versions).withColumn("todo", names)
         met = self.scanned().groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("met"))
-        blobs = blobs.join(met, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("met", F.array().cast("array<string>"))))
-        return blobs.where(F.size("todo") > 0).select("blob", "text", "todo")
+        todo = versions.select("blob").distinct().join(met, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("met", F.array().cast("array<string>"))))
+        return once(versions.join(todo.where(F.size("todo") > 0).select("blob", "todo"), "blob"), "todo")
 
     def add(self, versions: DataFrame, rules: Sequence[Rule]) -> None:
-        """Scans what is new in versions(blob, text)."""
-        run = f"run-{len(self.runs)}"
-        new = self.unseen(versions, rules)
+        """Scans what is new in versions(blob, text[, path]), and notes the paths."""
+        run = f"{self.path}/run-{uuid.uuid4().hex}"
+        path = F.col("path").cast("string") if "path" in versions.columns else F.lit(None).cast("string")
+        # ids alone are kept, no texts
+        versions.select(path.alias("path"), "blob").distinct().write.parquet(f"{run}/paths")
         names = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.name)])
-        found = scan(new, rules).withColumn("rule", names[F.col("kind")])
-        found.write.parquet(f"{self.path}/{run}/findings")
-        # the blobs' ids are taken from the versions again, so that no text is kept for them
-        seen = versions.select("blob").distinct()
-        seen = seen.withColumn("rules", F.array(*[F.lit(r.name) for r in rules]))
-        seen.write.parquet(f"{self.path}/{run}/scanned")
-        self.runs.append(run)
+        scan(self.unseen(versions, rules), rules).withColumn("rule", names[F.col("kind")]).write.parquet(f"{run}/findings")
+        seen = self.spark.read.parquet(f"{run}/paths").select("blob").distinct()
+        seen.withColumn("rules", F.array(*[F.lit(r.name) for r in rules])).write.parquet(f"{run}/scanned")
+        self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(run, self.MARK)).close()
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = BASE + MORE) -> DataFrame:
@@ -130,7 +156,7 @@ def scan_documents(spark: SparkSession, docs: DataFrame, ledger: Ledger, rules:
     rows without a doc_id stay; further columns are left out.
     """
     versions = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ledger.add(versions.select(blob_id(F.col("text")).alias("blob"), "text"), rules)
+    ledger.add(versions.select(F.col("doc_id").alias("path"), blob_id(F.col("text")).alias("blob"), "text"), rules)
     order = {r.kind: k for k, r in enumerate(rules)}
     current = [r.name for r in rules]
     base = [r.kind for r in rules if r in BASE]
