@@ -13,10 +13,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ragged, texts_of, trim, words_of
-
-#: The classifier is fitted on at most this many labelled documents, those of the least hash of doc_id.
-FIT_DOCUMENTS = 6000
+from .common import LONG, arrow_map, ragged, texts_of, trim, words_of
+
+#: The classifier is fitted on at most this many labelled documents, those of the least hash of doc_id, less those of
+#: more bytes than FIT_BYTES: so what comes to the driver is bounded. All documents are scored whole.
+FIT_DOCUMENTS, FIT_BYTES = 6000, 1 << 15
+#: Log-odds below which a sentence is quiet, and the most that all quiet ones of a text take from log(1 - P): below log 2,
+#: so that they alone never make a text toxic.
+QUIET, LIMIT = -3.0, 0.5
+#: Log-odds of a sentence where nothing could be learnt: any number of them scores zero.
+NOTHING = -60.0
 #: Hashed features (a power of two), lengths of word beginnings, and rounds of gradient descent.
 FEATURES, BEGINNINGS, ROUNDS = 1 << 18, range(3, 10), 120
 #: A feature counts if so many of the fitted documents have it, and toxic ones this many times as often as all do.
@@ -70,10 +76,17 @@ def expit(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -z))
 
 
-def noisy_or(z: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 - P) of each text, where P is the probability that any of its sentences with log-odds z is toxic."""
-    clean = np.concatenate(([0.0], np.cumsum(-np.logaddexp(0, z))))
-    return clean[offsets[1:]] - clean[offsets[:-1]]
+def noisy_or(z: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log(1 - P) of each text, where P is the probability that any of its sentences with log-odds z is toxic, and each sentence's part in it.
+
+    Quiet sentences together count for less than LIMIT, a few of them as they are: sums of theirs x as x / (1 + x / LIMIT).
+    So no length of harmless text adds up to a toxic one.
+    """
+    loss, quiet = np.logaddexp(0, z), z < QUIET
+    total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[offsets])
+    low = total(np.where(quiet, loss, 0.0))
+    part = np.where(quiet, np.repeat(1 / (1 + low / LIMIT) ** 2, np.diff(offsets)), 1.0)
+    return -total(np.where(quiet, 0.0, loss)) - low / (1 + low / LIMIT), part
 
 
 def _document_counts(index: np.ndarray, doc: np.ndarray, flat: np.ndarray, wide: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +110,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
     """
     weights, bias = np.zeros(FEATURES), -5.0
     if not len(texts) or labels.all() or not labels.any():
-        return Model(weights.astype(np.float32), bias)
+        return Model(weights.astype(np.float32), NOTHING)
     place, parts = {}, []
     for begin in range(0, len(texts), 256):  # a few texts at a time, so that no array is as long as all of them
         index, forms, sentence, offsets = sentences_of(pa.array(texts[begin : begin + 256], pa.large_string()))
@@ -127,10 +140,10 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
     for k in range(1, rounds + 1):
         word = np.bincount(owner, weights[flat], n_forms)
         z = bias + np.bincount(sentence, word[index], n)
-        clean = noisy_or(z, offsets)
+        clean, part = noisy_or(z, offsets)
         p = -np.expm1(clean)
         pull = np.where(y > 0, -np.exp(clean) / np.maximum(p, 1e-9), 1.0)
-        g = pull[doc] * expit(z)
+        g = pull[doc] * expit(z) * part
         g_word = np.bincount(index, g[sentence], n_forms)
         g_w, g_b = np.bincount(flat, g_word[owner], FEATURES) / len(texts) + lasso, g.sum() / len(texts)
         slow, fast = 0.9 * slow + 0.1 * g_w, 0.99 * fast + 0.01 * g_w * g_w
@@ -149,7 +162,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) ->
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(some), "doc_id")
     rows = sorted({r["doc_id"]: r for r in rows.collect()}.values(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], np.array([r["toxic"] > 0 for r in rows], bool))
 
@@ -161,8 +174,8 @@ _weights: list[float] = []
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.5, located: bool = False) -> DataFrame:
     """docs with `score` (0 to 1), `predicted` (1 at the threshold or above, int), n_sentences and n_offending added.
 
-    A score is that of the whole text alone: one less the product of its sentences' probabilities of being clean. Null
-    and empty texts have no sentence and score 0. located adds `offending`, the sentences at the threshold or above.
+    A score is that of the whole text alone: one less the product of its sentences' probabilities of being clean, where
+    those of hardly any weight count less the more there are. Null and empty texts have no sentence and score 0. located adds `offending`, the sentences at the threshold or above.
     Other columns and repeated rows stay; columns of docs with these names are replaced.
     """
     added = {"score": "double", "predicted": "int", "n_sentences": "long", "n_offending": "long"} | ({"offending": "array<string>"} if located else {})
@@ -177,15 +190,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, threshol
         index, forms, sentence, offsets = sentences_of(texts_of(batch, "text"))
         trim(_scores, KEPT_WORDS)
         get = _scores.get
-        for f in forms:
-            if get(f) is None:
-                _scores[f] = sum([_weights[x] for x in features(f)])
-        word = np.fromiter((_scores[f] for f in forms), float, len(forms))
+        word = np.zeros(len(forms))
+        for k, f in enumerate(forms):
+            if (s := get(f)) is None:
+                s = sum([_weights[x] for x in features(f)])
+                if len(f) <= LONG:
+                    _scores[f] = s
+            word[k] = s
         n = int(offsets[-1])
         told = (word > 0)[index]  # few words: the others say nothing
         one, of = once(index[told], sentence[told], max(1, len(forms)))
         z = shared.value.bias + (np.bincount(of, word[one], n) if n else np.zeros(0))
-        score = np.clip(-np.expm1(noisy_or(z, offsets)), 0, 1)
+        score = np.clip(-np.expm1(noisy_or(z, offsets)[0]), 0, 1)
         bad = expit(z) >= threshold
         upto = np.concatenate(([0], np.cumsum(bad)))
         out = [score, (score >= threshold).astype(np.int32), np.diff(offsets), upto[offsets[1:]] - upto[offsets[:-1]]]
