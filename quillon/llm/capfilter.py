@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, groups_of, lowest, paired_units, ragged
+from .common import Scratch, connected_components, groups_of, lowest, paired_units, ragged, with_least
 
 #: Filters of a code that a vector passes on average, and at least (its best ones, if fewer reach the threshold), vectors
 #: of a filter on average, vectors of one block of a large filter.
@@ -305,8 +305,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.95
     links = found.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("root is not null"), "rep", "root", scratch).withColumnRenamed("node", "rep")
     joined = classes.select("k1", "k2", "rep", "least", "copies").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = joined.join(smallest, "root").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    joined = with_least(joined, "root", "least", "component_id", "rep", classes.count(), scratch, "least").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = sound.select("vec_id", "k1", "k2").join(joined, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = vectors.where(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone).select(F.col("vec_id").cast("long"), "n_links", F.col("component_id").cast("long"))

@@ -165,6 +165,10 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+#: Longer words than so many characters are not kept between batches: a worker's dictionaries are bounded in bytes too.
+LONG = 64
+
+
 def trim(known: dict, most: int) -> None:
     """Of a dictionary of over `most` entries, leaves the half that came first: common words come early."""
     if len(known) > most:
@@ -174,7 +178,10 @@ def trim(known: dict, most: int) -> None:
 
 
 class Known:
-    """Ids of words that were met before, in one array; of over `most` words the half that came first is kept."""
+    """Ids of words that were met before, in one array; of over `most` words the half that came first is kept.
+
+    Words of over LONG characters are forgotten after their batch.
+    """
 
     def __init__(self, most: int):
         self.most = most
@@ -202,6 +209,8 @@ class Known:
         known = self.place.get
         at = np.fromiter([known(w, -1) for w in forms], np.int64, len(forms))
         new = np.flatnonzero(at < 0)
+        long = np.fromiter((len(forms[i]) > LONG for i in new.tolist()), bool, len(new))
+        new = np.concatenate((new[~long], new[long]))
         at[new] = np.arange(len(self.place), len(self.place) + len(new))
         for k in range(0, len(new), 50_000):
             some = [forms[i] for i in new[k : k + 50_000].tolist()]
@@ -210,27 +219,47 @@ class Known:
             self._put(some, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
         at = at[index]
         lengths = self.length[at]
-        return self.pool[ragged(self.start[at], lengths)], lengths
+        out = self.pool[ragged(self.start[at], lengths)]
+        if long.any():
+            for i in new[len(new) - int(long.sum()) :].tolist():
+                del self.place[forms[i]]
+            self.used = int(self.start[len(self.place)])
+        return out, lengths
 
 
 # ---------------------------------------------------------------- order by doc_id
 
 #: Stands for a missing doc_id: it comes first.
 LEAST = -(1 << 63)
-#: Rows of a bucket of neighbouring doc_ids, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 15
+#: Rows of a bucket of neighbouring doc_ids, and the most buckets: their bounds are known to the driver and to every task.
+#: Above 260 million rows buckets grow; their rows go through a task one after the other, sorted on disk, so a larger
+#: one takes longer but no more memory, and buckets of 100,000 rows still outnumber any cluster's tasks.
+BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 17
 
 
 def id_bounds(docs: DataFrame) -> np.ndarray:
-    """Ascending lower bounds that cut doc_ids into about even buckets, at most MOST_BUCKETS; reads doc_id alone."""
+    """Ascending lower bounds that cut doc_ids into about even buckets, at most MOST_BUCKETS; reads doc_id alone.
+
+    A doc_id that has several buckets' rows is listed as often as that; its rows are dealt by a second key.
+    """
     buckets = int(min(MOST_BUCKETS, max(1, docs.count() // BUCKET_ROWS)))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] if buckets > 1 else None
-    return np.unique(np.array(cuts or [], np.int64))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"))
+    cuts = ids.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] if buckets > 1 else None
+    return np.array(cuts or [], np.int64)
+
 
+def repeated_ids(bounds: np.ndarray) -> np.ndarray:
+    """The doc_ids that fill buckets of their own."""
+    found, many = np.unique(bounds, return_counts=True)
+    return found[many > 1]
 
-def bucket_of(doc_ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    """The bucket of each doc_id, 0 and up in ascending order."""
-    return np.searchsorted(bounds, pc.fill_null(doc_ids.cast(pa.int64()), LEAST).to_numpy(zero_copy_only=False), "right")
+
+def bucket_of(ids: np.ndarray, second: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The bucket of each (doc_id, second key), 0 and up in ascending order; second is a signed hash, used where a doc_id has several buckets."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    many = high - low
+    part = np.floor((second.astype(np.float64) + 2.0**63) / 2.0**64 * many).astype(np.int64)
+    return low + np.where(many > 0, 1 + np.minimum(part, many - 1), 0)
 
 
 # ---------------------------------------------------------------- blocks of pairs
@@ -275,6 +304,39 @@ def lowest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
+# ---------------------------------------------------------------- hot keys
+
+#: A key of over this many rows, or over this share of all, is hot: at most HOT_KEYS keys are, whatever the table's size.
+HOT_ROWS, HOT_KEYS = 1 << 16, 1 << 16
+
+
+def hot_bound(rows: int) -> int:
+    """Rows that a key of a table of so many rows may have before it is split; at most HOT_KEYS keys have more."""
+    return max(HOT_ROWS, -(-rows // HOT_KEYS))
+
+
+def salted(rows: DataFrame, per_key: DataFrame, keys: list[str], by: list[str], bound: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `__salt`, to be joined by keys and it: the rows of a key of over `bound` rows are dealt by a hash of `by`.
+
+    per_key has one row a key, and their number in `__n`, which is taken off. It is asked twice, so it should be a
+    written table. The hot keys are broadcast: at most HOT_KEYS rows.
+    """
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(bound))).cast("int")
+    hot = per_key.where(F.col("__n") > bound).select(*keys, chunks.alias("__chunks"))
+    deal = F.when(F.col("__chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(3), *by), F.col("__chunks")).cast("int"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", deal).drop("__chunks")
+    return left, per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("__n")
+
+
+def with_least(df: DataFrame, key: str, value: str, name: str, by: str, rows: int, scratch: Scratch, table: str) -> DataFrame:
+    """df with `name`, the smallest `value` of its key; minima are pre-aggregated, and a hot key's rows never meet in one task."""
+    low = df.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__n"))
+    if rows <= HOT_ROWS:  # no key can be hot
+        return df.join(low.drop("__n"), key)
+    left, right = salted(df, scratch.put(low, table), [key], [by], hot_bound(rows))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 # ---------------------------------------------------------------- connected components
 
 
@@ -282,21 +344,25 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, nam
     """(node, root): for each node of an edge, the smallest node of its component.
 
     Large-star and small-star rounds: each round sends every neighbour of a node to the smallest one, until the edges
-    are stars. Minima are pre-aggregated and joined back, so the neighbours of a hub never meet in one task. Each round
-    is a written table; the driver sees a count and a checksum of it only.
+    are stars. Minima are pre-aggregated and joined back, where the neighbours of a hub are dealt to several tasks.
+    Each round is a written table; the driver sees a count and a checksum of it only.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, seen = scratch.put(e, f"{name}-0"), None
     mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     k, now = 0, mark(e)
     while now[0] and now != seen:
+        many = 2 * now[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both, "u", "v", "m", "v", many, scratch, f"{name}-low-{k}").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        if many > HOT_ROWS:
+            large = scratch.put(large, f"{name}-large-{k}")
+        low = with_least(large, "u", "v", "m", "v", many, scratch, f"{name}-least-{k}")
+        star = low.select("u", F.col("m").alias("v"))
+        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         k, seen = k + 1, now
-        e = scratch.put(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{k}")
+        e = scratch.put(small.union(star).distinct(), f"{name}-{k}")
         now = mark(e)
-        scratch.drop(f"{name}-{k - 1}")
+        for old in (f"{name}-{k - 1}", f"{name}-low-{k - 1}", f"{name}-large-{k - 1}", f"{name}-least-{k - 1}"):
+            scratch.drop(old)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -17,10 +17,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, bucket_of, id_bounds, ragged, texts_of
+from .common import LEAST, Scratch, arrow_map, bucket_of, id_bounds, ragged, repeated_ids, texts_of
 from .wordbpe import WordEncoder
 
 MAGIC, VERSION = b"QHUF", 1
@@ -221,14 +223,19 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
     shared = spark.sparkContext.broadcast((lengths, codes_of(lengths)))
 
     bounds = id_bounds(tokens.select("doc_id"))
+    repeated = repeated_ids(bounds)
 
     def streams(batch):
         ids, n = _ids(batch)
         data, sizes, marks, count = encode(ids, n, *shared.value)
         data, marks = data.tobytes(), marks.astype("<u4").tobytes()
+        doc_id = pc.fill_null(batch.column("doc_id"), LEAST).to_numpy(zero_copy_only=False)
+        second = np.zeros(len(n), np.int64)
+        for k in np.flatnonzero(np.isin(doc_id, repeated)):
+            second[k] = xxhash.xxh64_intdigest(batch.column("ids")[k].as_buffer()) - (1 << 63)
         ends, mark_ends = np.cumsum(sizes).tolist(), (np.cumsum(count) * 4).tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket_of(batch.column("doc_id"), bounds)), batch.column("doc_id"), batch.column("n"), pa.array([marks[a:b] for a, b in zip([0, *mark_ends], mark_ends)], pa.binary()), pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["part", "doc_id", "n", "marks", "stream"]
+            [pa.array(bucket_of(doc_id, second, bounds)), batch.column("doc_id"), batch.column("n"), pa.array([marks[a:b] for a, b in zip([0, *mark_ends], mark_ends)], pa.binary()), pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["part", "doc_id", "n", "marks", "stream"]
         )
 
     def blocks(batches):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, hot_bound, salted
+
 #: Lines of a window.
 WIDTH = 3
 
@@ -39,11 +41,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     documents of under three lines have no window and stay as they are, as do null texts (0 lines). Rows equal in
     doc_id and text are one document and get the same text; rows without a doc_id come first. Other columns stay.
     """
+    scratch = Scratch(docs.sparkSession, "lines")
     found = windows(docs, text, width)
     place = F.struct("doc_id", "__k1", "__k2", "pos")
-    first = found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w1", "w2", "first")
-    later = found.join(first, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first"))).select("__k1", "__k2", "pos")
-    covered = later.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__at"))
+    first = found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("__n")).where("first <> last")
+    first = scratch.put(first.select("w1", "w2", "first", "__n"), "first")
+    # a window that very many documents share is dealt to several tasks
+    found, first = salted(found, first, ["w1", "w2"], ["__k1", "pos"], hot_bound(first.agg(F.sum("__n")).first()[0] or 0))
+    later = found.join(first, ["w1", "w2", "__salt"]).where(~place.eqNullSafe(F.col("first"))).select("__k1", "__k2", "pos")
+    covered = scratch.put(later.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__at")), "covered")
     n = F.size("__lines")
     # the gaps between covered positions: before each repeat, and after the last
     gaps = F.transform("__at", lambda s, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__at"), i - 1) + width).alias("a"), s.alias("b")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, connected_components, groups_of, lowest, paired_units, texts_of
+from .common import Scratch, arrow_map, connected_components, groups_of, lowest, paired_units, texts_of, with_least
 
 BITS = 64
 #: Fingerprints of one shard that form one tree; larger shards become several trees.
@@ -182,9 +182,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, width
     scratch = Scratch(spark, "simhash")
     fps = scratch.put(fingerprints(docs, width), "fps")
     reps = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    edges = links(reps.select("fp"), reps.count(), scratch, radius)
-    roots = connected_components(edges, "a", "b", scratch)
+    n = reps.count()
+    roots = connected_components(links(reps.select("fp"), n, scratch, radius), "a", "b", scratch)
     rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
+    found = with_least(rooted, "root", "least", "component_id", "fp", n, scratch, "least").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LEAST, TEXT_BLOCK, id_bounds, texts_of, trim, words_of
+from .common import LEAST, LONG, TEXT_BLOCK, bucket_of, id_bounds, repeated_ids, texts_of, trim, words_of
 
 #: Words of a shingle, and the share 1 / SCALE of the hash range that a sketch keeps.
 WIDTH, SCALE = 5, 8
@@ -38,10 +38,14 @@ def sketches(texts: pa.Array, width: int = WIDTH, scale: int = SCALE) -> list[np
     index, forms, offsets = words_of(texts)
     trim(_words, KEPT_WORDS)
     get, digest = _words.get, xxhash.xxh64_intdigest
+    own = []
     for w in forms:
-        if get(w) is None:
-            _words[w] = digest(w.encode())
-    word = np.fromiter((_words[w] for w in forms), np.uint64, len(forms))[index]
+        if (h := get(w)) is None:
+            h = digest(w.encode())
+            if len(w) <= LONG:
+                _words[w] = h
+        own.append(h)
+    word = np.array(own, np.uint64)[index]
     n = np.diff(offsets)
     with np.errstate(over="ignore"):
         h = np.zeros(len(word), np.uint64)
@@ -106,46 +110,52 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 # ---------------------------------------------------------------- neighbours by doc_id
 
 
-def _edges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of buckets of doc_ids, and (bucket, largest doc_id) of those with rows."""
-    lows = id_bounds(docs)
-    most = docs.groupBy(_bucket(F.col("doc_id"), lows).alias("b")).agg(F.max("doc_id").alias("m")).collect()
-    return lows, np.array(sorted((r["b"], LEAST if r["m"] is None else r["m"]) for r in most), np.int64).reshape(-1, 2)
+def _second(bounds: np.ndarray) -> Column:
+    """The second key of a row: a hash of the text where its doc_id fills buckets of its own; so texts are read for it only if there is such a doc_id."""
+    hot = repeated_ids(bounds)
+    return F.when(F.coalesce(F.col("doc_id"), F.lit(LEAST)).isin(hot.tolist()), F.xxhash64("text")).otherwise(F.lit(0).cast("long")) if len(hot) else F.lit(0).cast("long")
 
 
-def _bucket(column: Column, lows: np.ndarray) -> Column:
+def _bucket(bounds: np.ndarray) -> Column:
+    """The bucket of a row, from its doc_id (`id`) and second key, by search in the bounds, an array of constants."""
+
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(lows, ids.to_numpy(np.int64), "right").astype(np.int32))
+    def bucket(ids: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(ids.to_numpy(np.int64), second.to_numpy(np.int64), bounds).astype(np.int32))
 
-    return bucket(F.coalesce(column, F.lit(LEAST)))
+    return bucket("id", "second")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, halo, doc_id, text), sorted by bucket, halo and descending doc_id within each partition.
+    """(bucket, halo, doc_id, text), sorted by bucket, halo and descending (doc_id, second key, text) within each partition.
 
-    Documents lie in buckets of doc_id; a bucket also has, as its halo, the largest document of the bucket below it
-    (the lowest bucket: of the highest), so that each document's next one follows it in its own task. Each text moves
-    once, but for a bucket's largest. No task holds more than a partition's rows, one at a time.
+    Documents lie in buckets of doc_id, those of a doc_id of very many rows in several by a hash of the text; a bucket
+    also has, as its halo, the largest document of the bucket below it (the lowest bucket: of the highest), so that each
+    document's next one follows it in its own task. Each text moves once, but for a bucket's largest. Rows go through a
+    task one after the other.
     """
-    lows, filled = _edges(docs.select("doc_id"))
-    above = {int(m): int(filled[(k + 1) % len(filled)][0]) for k, (_, m) in enumerate(filled)}
-    keys = np.array(sorted(above), np.int64)
-    targets = np.array([above[k] for k in keys.tolist()], np.int32)
+    bounds = id_bounds(docs.select("doc_id"))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).alias("id"), _second(bounds).alias("second"), "text")
+    largest = F.max(F.struct("id", "second")) if len(repeated_ids(bounds)) else F.struct(F.max("id").alias("id"), F.lit(0).alias("second"))
+    most = keyed.select("id", "second").groupBy(_bucket(bounds).alias("b")).agg(largest.alias("m")).collect()  # a row for each bucket
+    filled = sorted((r["b"], r["m"]["id"], r["m"]["second"]) for r in most)
+    above = {(i, second): filled[(k + 1) % len(filled)][0] for k, (_, i, second) in enumerate(filled)}
+    keys = np.array(sorted(above), np.int64).reshape(-1, 2)
+    targets = np.array([above[tuple(k)] for k in keys.tolist()], np.int32)
 
     @F.pandas_udf("array<int>")
-    def both(ids: pd.Series) -> pd.Series:
-        ids = ids.to_numpy(np.int64)
-        own = np.searchsorted(lows, ids, "right").astype(np.int32)
-        k = np.minimum(np.searchsorted(keys, ids), max(0, len(keys) - 1))
-        is_edge = keys[k] == ids if len(keys) else np.zeros(len(ids), bool)
+    def both(ids: pd.Series, second: pd.Series) -> pd.Series:
+        ids, second = ids.to_numpy(np.int64), second.to_numpy(np.int64)
+        own = bucket_of(ids, second, bounds).astype(np.int32)
         out = own.reshape(-1, 1).tolist()
-        for i in np.flatnonzero(is_edge):
-            out[i] = [own[i], targets[k[i]]]
+        for i in np.flatnonzero(np.isin(ids, keys[:, 0])):
+            for k in range(np.searchsorted(keys[:, 0], ids[i]), np.searchsorted(keys[:, 0], ids[i], "right")):
+                if keys[k, 1] == second[i]:
+                    out[i] = [own[i], targets[k]]
         return pd.Series(out)
 
-    dealt = docs.select("doc_id", "text", F.posexplode(both(F.coalesce(F.col("doc_id"), F.lit(LEAST)))).alias("halo", "bucket"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("doc_id"), F.xxhash64("text"), "text")
+    dealt = keyed.select("doc_id", "second", "text", F.posexplode(both("id", "second")).alias("halo", "bucket"))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("doc_id"), F.desc("second"), F.desc("text")).drop("second")
 
 
 def compare_edited(spark: SparkSession, docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
