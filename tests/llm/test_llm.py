@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import capfilter, common, huffman, jaccard, linededup, packing, piecewise, queries, secrets, simhash, sketch, toxicity, urlfilter, wordbpe
+from quillon.llm import capfilter, common, huffman, linededup, packing, piecewise, queries, secrets, simhash, simhash_texts, sketch, toxicity, urlfilter, wordbpe
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -629,7 +629,7 @@ def test_pipeline(spark, data, duck):
     lines = common.Scratch(spark, "t").put(lines, "lines")
     single = P.drop_near_duplicates(spark, lines, data)
     ids = sorted(got)
-    roots = brute_components([brute_fingerprint(got[d].text) for d in ids], lambda a, b: (a ^ b).bit_count() <= 4)
+    roots = brute_components([brute_shingles(got[d].text) for d in ids], like)
     assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == sorted({ids[r] for r in roots})
     hidden = P.hide_secrets(spark, single, data)
     assert hidden.columns == columns and all(not brute_spans(r.text) for r in hidden.collect())
@@ -637,6 +637,10 @@ def test_pipeline(spark, data, duck):
     assert n > 0
 
 
+def like(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
 def brute_shingles(text):
     words = text.lower().split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
@@ -644,7 +648,7 @@ def brute_shingles(text):
 
 def test_shingles_of_slices():
     batch = pa.RecordBatch.from_arrays([pa.array([f"Alpha{k} beta GAMMA{k} d e f{k}" for k in range(10)])], names=["text"])
-    hashed = lambda b: jaccard.nodes(*jaccard.shingles(common.texts_of(b, "text"))).tolist()
+    hashed = lambda b: simhash_texts.nodes(*simhash_texts.shingles(common.texts_of(b, "text"))).tolist()
     assert hashed(batch.slice(4, 3)) == hashed(batch)[4:7] and len(set(hashed(batch))) == 10
 
 
@@ -658,14 +662,13 @@ def test_pipeline_near_duplicates_by_jaccard(spark, data, monkeypatch):
             texts.append(" ".join(f"v{rng.randrange(3000)}" if rng.random() < share else w for w in t.split()))
     texts += [" ".join([*texts[4].split(), f"x{k}", f"y{k}"]) for k in range(60)]
     sets = [brute_shingles(t) for t in texts]
-    like = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
     roots = brute_components(sets, like)
     assert len(set(roots)) < len(texts) - 100 and sum((brute_fingerprint(texts[k]) ^ brute_fingerprint(texts[r])).bit_count() > 4 for k, r in enumerate(roots)) > 20
     docs = spark.createDataFrame([(k, t, None, "s", None) for k, t in enumerate(texts)], SCHEMA).repartition(5)
     for block, star in ((256, 512), (8, 8)):
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        monkeypatch.setattr(jaccard, "STAR", star)
-        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark, docs).collect()} == dict(enumerate(roots))
+        monkeypatch.setattr(simhash_texts, "BLOCK", block)
+        monkeypatch.setattr(simhash_texts, "STAR", star)
+        assert {r.doc_id: r.component_id for r in simhash_texts.near_duplicates(spark, docs).collect()} == dict(enumerate(roots))
         assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, data).collect()) == sorted(set(roots))
 
 
@@ -678,4 +681,19 @@ def test_pipeline_stages_odd(spark, odd, empty, data):
             assert out.columns == docs.columns
             out.count()
         P.STAGES[-1][1](spark, docs, data).count()
-    assert P.drop_near_duplicates(spark, odd, data).where("doc_id = 5").count() <= 1
+    kept = sorted(r.text for r in P.drop_near_duplicates(spark, odd, data).where("doc_id in (3, 5)").collect())
+    assert kept == ["a b c d", "one", "other text"]  # the two texts of doc_id 5 stay, of the two rows of doc_id 3 one
+
+
+def test_texts_within_the_radius():
+    """Texts of a likeness of 0.8 differ in fewer bits than the radius, those of few shingles too."""
+    rng = np.random.default_rng(4)
+    for n, shared in ((4, 4), (8, 8), (40, 36), (400, 356)):
+        worst = 0
+        for _ in range(300):
+            h = rng.integers(0, 1 << 64, 2 * n + 2, np.uint64)
+            a, b = h[:n], np.concatenate((h[:shared], h[n : 2 * n - shared + (1 if n == 4 else 0)]))
+            assert 5 * shared >= 4 * (len(a) + len(b) - shared)
+            fps = simhash_texts.fingerprints(np.concatenate((a, b)), np.array([0, n, n + len(b)]))
+            worst = max(worst, int(fps[0] ^ fps[1]).bit_count())
+        assert worst <= simhash_texts.RADIUS
