@@ -94,8 +94,13 @@ def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     return low if len(low) else both[:1]
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The estimated share of a's shingles that b has too; 1 if a has none."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float | None:
+    """The estimated share of a's shingles that b has too; 1 if a has none.
+
+    A text none of whose hashes is below the threshold cannot be looked for in another: None, unless both sketches are equal.
+    """
+    if len(a) and a[0] > np.uint64((1 << 64) // scale - 1):
+        return 1.0 if np.array_equal(a, b) else None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
@@ -164,7 +169,7 @@ def compare_edited(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sca
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited, in_next): the
     edited text has the last half of the code points replaced by as many first ones (or all) of the next document by
     descending doc_id; after the last comes the first. near_ is the likeness (Jaccard), in_ the containment of the
-    document's shingles. Null texts are empty: they have an empty fingerprint, and likeness 1 with each other, 0 with
+    document's shingles, null where it is too short for an estimate. Null texts are empty: they have an empty fingerprint, and likeness 1 with each other, 0 with
     others. Documents of equal doc_id follow each other by text; those without one come last. A lone document is its
     own next. Further columns are left out.
     """
@@ -205,7 +210,7 @@ def compare_edited(spark: SparkSession, docs: DataFrame, width: int = WIDTH, sca
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(doc_ids, pa.int64()), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in edited],
                 "fingerprint": list(map(to_text, own)), "edited_fingerprint": list(map(to_text, new)),
-                "near_edited": list(map(likeness, own, new)), "near_next": list(map(likeness, own, after)), "in_edited": list(map(containment, own, new)), "in_next": list(map(containment, own, after)),
+                "near_edited": list(map(likeness, own, new)), "near_next": list(map(likeness, own, after)), "in_edited": pa.array([containment(a, b, scale) for a, b in zip(own, new)], pa.float64()), "in_next": pa.array([containment(a, b, scale) for a, b in zip(own, after)], pa.float64()),
             })
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double"

@@ -87,7 +87,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES)
     for k in range(WORDS):
         passed = passed & (F.col(f"__f{k}").bitwiseAND(F.col(f"__w{k}")) == F.col(f"__w{k}"))
     rows = rows.select("page_id", "host", "path", "r", F.when(passed, F.col("key")).alias("url_key"))
-    hits = rows.where("url_key is not null").join(listed.withColumn("found", F.lit(True)), "url_key", "left")
+    hits = rows.where("url_key is not null").join(listed.withColumn("found", F.lit(True)).hint("shuffle_hash"), "url_key", "left")
     rows = hits.unionByName(rows.where("url_key is null").withColumn("found", F.lit(None).cast("boolean")))
     found = F.coalesce("found", F.lit(False))
     return rows.select("page_id", "host", "path", F.col("r.name").alias("rule"), F.coalesce("r.verdict", F.when(found, "block").otherwise("allow")).alias("verdict"), found.alias("listed"))

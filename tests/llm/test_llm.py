@@ -141,13 +141,19 @@ def test_url_parts_and_rules(spark):
         "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://h.net/list/": ("h.net", "/list/", None, "block"), "x://www.h.net/list?a://b/c": ("www.h.net", "/list", None, "block"), "http://h.net/other": ("h.net", "/other", None, "allow"),
         "http://a.b\n.org/x\ny?z": ("a.b\n.org", "/x\ny", "org/", "allow"), "": ("", "", None, "allow"),
     }
-    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)] + [(None, "http://h.net/list", "x")], "page_id long, url string, host string")
+    clash = ", ".join(f"{c} string" for c in ("host", "url_key", "r", "key", "found", "listed", "__block"))
+    pages = spark.createDataFrame([(k, u, *"abcdefg") for k, u in enumerate(urls)] + [(None, "http://h.net/list", *"abcdefg")], f"page_id long, url string, {clash}")
     listed = spark.createDataFrame([("h.net/list",), ("h.net/list",), (None,), ("example.org/es",)], "url_key string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, listed).collect()}
     assert got.pop(None)[3] == "block" and got == dict(enumerate(urls.values()))
     assert urlfilter.judge(pages.where("false"), listed).count() == 0 and urlfilter.judge(pages, listed.where("false")).where("verdict = 'block'").count() == 3
 
 
+def test_possible_hits_go_through_a_hash_join(spark, data, capsys):
+    queries.op2_url_filters(spark, data).explain()
+    assert "ShuffledHashJoin" in capsys.readouterr().out
+
+
 def test_full_bloom_filter_changes_nothing(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"http://h.net/{k}") for k in range(500)], "page_id long, url string")
     listed = spark.createDataFrame([(f"h.net/{k}",) for k in range(0, 500, 3)], "url_key string")
@@ -470,14 +476,20 @@ def test_sketches(spark, odd, empty, data):
     shingles = lambda t: {" ".join(w[k : k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))} if t.split() else set()
     docs = sorted(((r.doc_id, r.text) for r in docs_of(spark, data).collect()), reverse=True)
     got = {r.doc_id: r for r in queries.op6_sketch(spark, data).collect()}
-    errors = []
+    errors, nexts = [], []
     for k, (d, t) in enumerate(docs):
         after = docs[(k + 1) % len(docs)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         a, b = shingles(t), shingles(edited)
         assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         errors.append(got[d].near_edited - (len(a & b) / len(a | b) if a | b else 1.0))
+        own, new, then = sketch.sketches(pa.array([t, edited, after], pa.large_string()))
+        row = (sketch.to_text(own), sketch.to_text(new), sketch.likeness(own, new), sketch.likeness(own, then), sketch.containment(own, new), sketch.containment(own, then))
+        assert row == (got[d].fingerprint, got[d].edited_fingerprint, got[d].near_edited, got[d].near_next, got[d].in_edited, got[d].in_next)
+        c = shingles(after)
+        nexts.append(got[d].near_next - (len(a & c) / len(a | c) if a | c else 1.0))
     assert abs(np.mean(errors)) < 0.05 and np.sqrt(np.mean(np.square(errors))) < 0.15
+    assert abs(np.mean(nexts)) < 0.02 and np.sqrt(np.mean(np.square(nexts))) < 0.1
     rows = sketch.compare_edited(spark, odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert len({r.fingerprint for r in rows if r.n_chars == 0}) == 1 and sketch.compare_edited(spark, empty).count() == 0
@@ -490,6 +502,7 @@ def test_sketches_merge():
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(6000)]
     small, large = " ".join(words[:600]), " ".join(words)
     a, b = sketch.sketches(pa.array([small, large], pa.large_string()))
+    assert sketch.containment(np.array([1 << 63], np.uint64), np.array([5, 6], np.uint64)) is None and sketch.containment(np.array([1 << 63], np.uint64), np.array([1 << 63], np.uint64)) == 1.0
     assert sketch.containment(a, b) == 1.0 and 0.05 < sketch.containment(b, a) < 0.16 and np.array_equal(sketch.merge(a, b), b)
     assert np.array_equal(sketch.from_text(sketch.to_text(b)), b) and len(sketch.sketches(pa.array(["", "a", "a b"], pa.large_string()))[1]) == 1
 
@@ -566,7 +579,11 @@ def test_segments_do_not_change_paths():
 def test_pieces_round_trip(spark, odd, empty, data):
     got = piecewise.round_trip(odd, PIECES).collect()
     assert len(got) == odd.count() and all(r.same for r in got)
-    assert queries.op9_pieces(spark, data).where("not same").count() == 0 and piecewise.round_trip(empty, PIECES).count() == 0
+    codec, texts = piecewise.PieceCodec.load(PIECES), {r.doc_id: r.text or "" for r in docs_of(spark, data).collect()}
+    for r in queries.op9_pieces(spark, data).collect():  # whole texts, without segments and dictionaries
+        ids = codec.best("▁" + texts[r.doc_id].replace(" ", "▁")) if texts[r.doc_id] else []
+        assert r.same and (r.n_ids, r.ids_crc32) == (len(ids), crc(ids)) and r.text_sha256 == hashlib.sha256(texts[r.doc_id].replace("▁", " ").encode()).hexdigest()
+    assert piecewise.round_trip(empty, PIECES).count() == 0
     coded = piecewise.encode_documents(odd, PIECES)
     back = collections.Counter(r.text for r in piecewise.decode_documents(coded, PIECES).collect())
     assert back == collections.Counter((r.text or "").replace("▁", " ") for r in odd.collect())
