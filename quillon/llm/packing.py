@@ -22,8 +22,8 @@ SPARE = 0.01
 ID = "<u4"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Each document's ids and the end id, cut at each `capacity`th: (doc_id, start, length, ids_crc32, doc_tokens, ids as bytes)."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+    """Each document's ids and the end id, cut at each `capacity`th: (doc_id, start, length, ids_crc32, doc_tokens[, ids as bytes])."""
 
     def each(batch):
         ids, offsets = WordEncoder.load(tokenizer).encode(texts_of(batch, "text"))
@@ -39,10 +39,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         data = memoryview(whole.tobytes())
         crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(low.tolist(), length.tolist())]
         out = {"doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": n[doc]}
-        out["ids"] = pa.array([data[4 * a : 4 * (a + k)] for a, k in zip(low.tolist(), length.tolist())], pa.binary())
+        if with_ids:
+            out["ids"] = pa.array([data[4 * a : 4 * (a + k)] for a, k in zip(low.tolist(), length.tolist())], pa.binary())
         return pa.RecordBatch.from_pydict(out)
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int, linear: float, quadratic: float, spare: float = SPARE) -> np.ndarray:
@@ -156,25 +157,30 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
             whole = pa.array(length == some.column("length").to_numpy())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": some.column("doc_id"), "start": pc.add(some.column("start"), pa.array(begin)), "length": length, "ids_crc32": pc.if_else(whole, some.column("ids_crc32"), pa.scalar(None, pa.int64())),
-                "doc_tokens": some.column("doc_tokens"), "sequence_id": sequence, "offset": offset, "piece": some.column("piece"), "begin": begin,
+                "doc_tokens": some.column("doc_tokens"), "sequence_id": sequence, "offset": offset, "begin": begin, "whole": some.column("length"), "crc": some.column("ids_crc32"),
             })
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, piece long, begin long"
-    out = ranked(spark, found.drop("ids"), counts).mapInArrow(place, schema)
-    names = [n for n in out.columns if n not in ("piece", "begin")]
-    cut = int(runs[runs[:, 5] < runs[:, 0], 2].sum())
-    if not (cut or with_ids):
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, begin long, whole long, crc long"
+    out = ranked(spark, found, counts).mapInArrow(place, schema)
+    names = out.columns[:7]
+    if not (with_ids or (runs[:, 5] < runs[:, 0]).any()):
         return out.select(*names)
-    out = scratch.put(out, "placed")  # what is cut has its checksum from its ids
+    # parts of cut pieces have their checksums from their ids: their documents alone are encoded again
+    out = scratch.put(out, "placed")
     todo = out if with_ids else out.where("ids_crc32 is null")
-    kind = np.dtype(ID)
+    some = docs.select("doc_id", "text")
+    if not with_ids:
+        some = some.join(todo.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    same = ["doc_id", "start", "length", "ids_crc32"]  # pieces that agree in these are as good as one another
+    ids = pieces(some, tokenizer, end_id, capacity, True).groupBy(*same).agg(F.first("ids").alias("ids")).select(*[F.col(c).alias(f"__{c}") for c in same], "ids")
+    key = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("start") - F.col("begin") == F.col("__start")) & (F.col("whole") == F.col("__length")) & (F.col("crc") == F.col("__ids_crc32"))
 
     def own(batches):
         for batch in batches:
             data = [memoryview(x.as_buffer())[4 * a : 4 * (a + n)] for x, a, n in zip(batch.column("ids"), batch.column("begin").to_pylist(), batch.column("length").to_pylist())]
             row = {n: batch.column(n) for n in names} | {"ids_crc32": pa.array([zlib.crc32(x) for x in data], pa.int64())}
-            yield pa.RecordBatch.from_pydict(row | ({"ids": pa.array([np.frombuffer(x, kind).astype(np.int32) for x in data], pa.list_(pa.int32()))} if with_ids else {}))
+            yield pa.RecordBatch.from_pydict(row | ({"ids": pa.array([np.frombuffer(x, ID).astype(np.int32) for x in data], pa.list_(pa.int32()))} if with_ids else {}))
 
     schema = ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids
-    told = todo.join(found.select("piece", "ids"), "piece").mapInArrow(own, schema)
+    told = todo.join(ids, key).select(*names, "begin", "ids").mapInArrow(own, schema)
     return told if with_ids else out.where("ids_crc32 is not null").select(*names).unionByName(told)
