@@ -48,14 +48,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     first = scratch.put(first.select("w1", "w2", "first", "__n"), "first")
     # a window that very many documents share is dealt to several tasks
     found, first = salted(found, first, ["w1", "w2"], ["__k1", "pos"], hot_bound(first.agg(F.sum("__n")).first()[0] or 0))
-    later = found.join(first, ["w1", "w2", "__salt"]).where(~place.eqNullSafe(F.col("first"))).select("__k1", "__k2", "pos")
+    later = found.join(first.hint("merge"), ["w1", "w2", "__salt"]).where(~place.eqNullSafe(F.col("first"))).select("__k1", "__k2", "pos")
     covered = scratch.put(later.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__at")), "covered")
     n = F.size("__lines")
     # the gaps between covered positions: before each repeat, and after the last
     gaps = F.transform("__at", lambda s, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__at"), i - 1) + width).alias("a"), s.alias("b")))
     gaps = F.concat(gaps, F.array(F.struct((F.element_at("__at", -1) + width).alias("a"), n.alias("b"))))
     kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["a"] < g["b"]), lambda g: F.slice("__lines", g["a"] + 1, g["b"] - g["a"])))
-    joined = _keyed(docs, text).join(covered, ["__k1", "__k2"], "left")
+    # no table that grows with the input is broadcast, however small it is
+    joined = _keyed(docs, text).join(covered.hint("merge"), ["__k1", "__k2"], "left")
     joined = joined.withColumn("__kept", F.when(F.col("__at").isNotNull(), kept))
     out = {
         text: F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text)),
