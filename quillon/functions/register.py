@@ -31,7 +31,7 @@ def callable_operators(sql: str) -> str:
 def chunk_table():
     """The table function chunk_text(text, limit, overlap): (seq, n_units, chars, text)."""
     from ..operators.chunking import LIMIT, OVERLAP, Unit, pack
-    cut = re.compile(r"(?<=[。！？；])|(?<=[.!?])(?=\s)")
+    cut = re.compile(T.SENTENCE_END)
 
     class Chunks:
         def eval(self, text: str, limit: int = LIMIT, overlap: int = OVERLAP):

@@ -15,6 +15,8 @@ K1, B = 1.5, 0.75
 
 
 class Index(NamedTuple):
+    """postings (key, term, tf, w), where w is what a posting adds to the score of a query with the term; lengths, vocabulary, stats."""
+
     postings: DataFrame
     lengths: DataFrame
     vocabulary: DataFrame
@@ -32,22 +34,29 @@ class Index(NamedTuple):
 
 
 def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf) of all tokens but stop words."""
-    return docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf) of all tokens but stop words; tokens become rows before their forms are taken, as plain columns."""
+    raw = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(T.TOKEN), F.lit(0))).alias("raw")).select(key, F.lower("raw").alias("raw"))
+    found = raw.select(key, F.explode(T.token_forms(F.col("raw"))).alias("term")).where(~F.col("term").isin(T.STOP))
+    return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build(docs: DataFrame, key: str, text: str = "text", store: Store | None = None) -> Index:
     """Lengths count tokens before the vocabulary is cut to terms of two characters and two documents or more.
 
-    With a store, texts are cut to tokens once, and the index's tables are made from the written counts.
+    Weights are taken once, here, so that a query reads the postings of its terms and nothing else. With a store, texts
+    are cut to tokens once and counts are written; their joins are then between written tables, where the postings of a
+    very common term can be dealt to several tasks.
     """
-    found = terms(docs, key, text)
-    found = store.put(found, "terms") if store else found
+    put = store.put if store else lambda df, name: df
+    found = put(terms(docs, key, text), "terms")
     lengths = docs.select(key).join(found.groupBy(key).agg(F.sum("tf").alias("doclen")), key, "left").select(key, F.coalesce("doclen", F.lit(0)).alias("doclen"))
-    vocabulary = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= 2) & (F.length("term") > 1))
-    postings = found.join(vocabulary.select("term"), "term")
+    lengths = put(lengths, "lengths")
+    vocabulary = put(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= 2) & (F.length("term") > 1)), "vocabulary")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_doc"), F.avg("doclen").alias("avgdl"))
-    return Index(postings.select(key, "term", "tf"), lengths, vocabulary, stats)
+    idf = F.log1p((F.col("n_doc") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doclen") / F.col("avgdl")))
+    weighed = found.join(vocabulary, "term").join(lengths, key).crossJoin(F.broadcast(stats))  # stats: one row
+    return Index(weighed.select(key, "term", "tf", w.alias("w")), lengths, vocabulary, stats)
 
 
 def query_terms(queries: DataFrame, query: str, text: str = "text") -> DataFrame:
@@ -56,14 +65,6 @@ def query_terms(queries: DataFrame, query: str, text: str = "text") -> DataFrame
     return rows.groupBy(query, "term").agg(F.min("at").alias("at"))
 
 
-def weights(index: Index, key: str) -> DataFrame:
-    """(key, term, w): what a posting adds to the score of a query with the term."""
-    s = F.broadcast(index.stats)  # one row
-    idf = F.log1p((F.col("n_doc") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doclen") / F.col("avgdl")))
-    return index.postings.join(index.vocabulary, "term").join(index.lengths, key).crossJoin(s).select(key, "term", w.alias("w"))
-
-
 def search(index: Index, queries: DataFrame, key: str, query: str, pool: int = 100, text: str = "text") -> DataFrame:
     """(query, key, score, matched, rank): the `pool` best documents of each query; rank is 0 and up.
 
@@ -71,9 +72,7 @@ def search(index: Index, queries: DataFrame, key: str, query: str, pool: int = 1
     The query's terms are few; they meet the postings in a hash join by term, and sums are pre-aggregated.
     """
     asked = query_terms(queries, query, text)
-    # postings are cut to the asked terms before lengths and frequencies are joined to them
-    some = Index(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), index.lengths, index.vocabulary, index.stats)
-    hits = weights(some, key).join(asked, "term").groupBy(query, key)
+    hits = index.postings.join(asked, "term").groupBy(query, key)
     scored = hits.agg(F.round(F.sum("w"), 6).alias("score"), F.array_sort(F.collect_list(F.struct("at", "term"))).alias("m"))
     scored = scored.select(query, key, "score", F.col("m.term").alias("matched"))
     return first_rows(scored, [query], [F.desc("score"), key], pool)

@@ -64,12 +64,26 @@ def doclen_avgdl(spark, t):
 def tokenize_terms(spark, t):
     """Terms of questions, where the raw token that has them first comes, and how often they occur."""
     raw = t("benchmark").select("item_id", F.posexplode(T.raw_tokens(F.col("text"))).alias("at", "raw")).select("item_id", "at", F.explode(T.token_forms(F.col("raw"))).alias("term"))
-    return raw.where(~F.col("term").isin(T.STOP + T.STOP_CJK)).groupBy("item_id", "term").agg(F.min("at").cast("long").alias("first_at"), F.count(F.lit(1)).alias("tf"))
+    return raw.where(~F.col("term").isin(T.STOP)).groupBy("item_id", "term").agg(F.min("at").cast("long").alias("first_at"), F.count(F.lit(1)).alias("tf"))
+
+
+_indexes: dict[tuple, lexical.Index] = {}
 
 
 def _index(t) -> lexical.Index:
+    """The index of the documents, built and written by the first query that asks for it; the others read it.
+
+    It goes by the files and when they were written, so another table, or another state of it, has its own.
+    """
     docs = t("documents")
-    return lexical.build(docs, "doc_id", store=Store(docs.sparkSession, "index"))
+    spark = docs.sparkSession
+    files = docs.select(F.col("_metadata.file_path"), F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")).distinct().collect()  # a row a file
+    state = (spark.sparkContext.applicationId, *sorted(map(str, files)))
+    if state not in _indexes:
+        store = Store(spark, "index")
+        lexical.build(docs, "doc_id", store=store).write(f"{store.path}/whole")
+        _indexes[state] = lexical.Index.read(spark, f"{store.path}/whole")
+    return _indexes[state]
 
 
 def _bm25(t) -> DataFrame:
@@ -247,47 +261,54 @@ def anchor_channel(spark, t):
     return retrieve.anchor_channel(t("documents"), _anchors(spark, t), _bm25(t), "item_id", "doc_id", numbered=False).withColumn("rank", F.col("rank").cast("long"))
 
 
+_COMPANIES = """sm as (select item_id, d.doc_id, lang, round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6) as sim from a, v join documents d on d.doc_id = v.doc_id where lang in ('de', 'fr')),
+    p as (select * from (select *, case lang when 'de' then 0 else 1 end as pos, row_number() over (partition by item_id, lang order by sim desc, doc_id) - 1 as place from sm) where place < 4),
+    cc as (select item_id, doc_id, lang, row_number() over (partition by item_id order by place, pos) - 1 as rank from p)"""
+_FIVE = _TWO + " union all select item_id, doc_id, 1.0::double / (60 + rank) from ac union all select item_id, doc_id, 1.0::double / (60 + rank) from cc union all select qid // 10, doc_id, 0.6::double / (60 + rank) from rb"
+
+
+def _rewrites(t) -> DataFrame:
+    """A question's first two sentences stand for what a model would write."""
+    parts = F.array(F.split_part("text", F.lit("."), F.lit(1)), F.split_part("text", F.lit("."), F.lit(2)))
+    return t("benchmark").select("item_id", F.posexplode(parts).alias("pos", "text"))
+
+
 @query(
-    f"""with {_CHANNELS}, {_ANCHORED}, {_FUSED.format(how='sum', votes=_TWO + ' union all select item_id, doc_id, 1.0::double / (60 + rank) from ac')},
-    h as (select f.*, source, lang, ac.rank as ar from f join documents using (doc_id) left join ac using (item_id, doc_id)), {_GREEDY},
+    f"""with {_CHANNELS}, {_ANCHORED}, {_COMPANIES}, {_REWRITES}, rw as (select * from rq where qid % 10 > 0), {S.bm25('rb', 'documents', 'doc_id', 'rw', 'qid')}, {_FUSED.format(how='sum', votes=_FIVE)},
+    h as (select f.*, documents.source, documents.lang, ac.rank as ar, cc.rank as cr from f join documents using (doc_id) left join ac using (item_id, doc_id) left join cc using (item_id, doc_id)), {_GREEDY},
     capped as (select * from (select *, row_number() over (partition by item_id, source, ar is not null order by rank) as n from kept) where ar is not null or n <= 3),
     own as (select *, case lang when 'de' then 0 else 1 end as pos, row_number() over (partition by item_id, lang order by rank) - 1 as i from capped where lang in ('de', 'fr')),
     anch as (select *, row_number() over (partition by item_id order by ar, rank) - 1 as o from capped where ar is not null),
     claims as (select item_id, doc_id, 0 as phase, o as a, 0 as b from anch where o < 4 union all select item_id, doc_id, 1, i, pos from own where i < 4 union all select item_id, doc_id, 2, rank, 0 from capped),
     best as (select item_id, doc_id, min({{'p': phase, 'a': a, 'b': b}}) as c from claims group by all),
     seats as (select * from (select *, row_number() over (partition by item_id order by c, doc_id) - 1 as seat from best) where seat < 8)
-    select item_id, seat, doc_id, capped.score, bm.rank as bm25_rank, ds.rank as dense_rank, ds.sim as dense_sim, ar as anchor_rank,
-        case when bm.rank is null and ds.rank is null and ar is null then '改写' else (case when bm.rank is not null then 'bm25' else '' end) || (case when ds.rank is not null then '+dense' else '' end) || (case when ar is not null then '+锚定' else '' end) end as channels,
+    select item_id, seat, doc_id, capped.score, bm.rank as bm25_rank, ds.rank as dense_rank, ds.sim as dense_sim, ar as anchor_rank, cr as company_rank,
+        case when bm.rank is null and ds.rank is null and ar is null and cr is null then '改写' else (case when bm.rank is not null then 'bm25' else '' end) || (case when ds.rank is not null then '+dense' else '' end) || (case when ar is not null then '+锚定' else '' end) || (case when cr is not null then '+公司' else '' end) end as channels,
         lang || '|' || capped.source || ' · ' || 'p' || doc_id as cite
     from seats join capped using (item_id, doc_id) left join bm using (item_id, doc_id) left join ds using (item_id, doc_id)"""
 )
 def hybrid_search(spark, t):
-    """All channels fused, neighbours and documents thinned, eight seats a question, with citations."""
+    """BM25, cosine, anchors, named companies and rewrites fused, neighbours and documents thinned, eight seats a question, with citations."""
     docs = t("documents")
     chunks = docs.select("doc_id", "text", "source", F.col("lang").alias("company"))
     vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = t("benchmark").select("item_id").join(t("embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
     named = _named(spark, t).withColumnRenamed("lang", "company")
-    rows = retrieve.search(chunks, _index(t), vectors, t("benchmark"), asked, named, "item_id", "doc_id", "source", "doc_id", anchors=_anchors(spark, t), numbered=False, store=Store(spark, "search"))
+    rows = retrieve.search(chunks, _index(t), vectors, t("benchmark"), asked, named, "item_id", "doc_id", "source", "doc_id", anchors=_anchors(spark, t), numbered=False, store=Store(spark, "search"), rewrites=_rewrites(t))
     blank = F.lit("")
     parts = {c: blank for c in ("title", "table_title", "section", "date", "period", "amount_unit")} | {"company": F.col("company"), "source": F.col("source"), "page_start": F.col("doc_id"), "page_end": F.col("doc_id")}
-    ranks = {c: F.col(c).cast("long") for c in ("seat", "bm25_rank", "dense_rank", "anchor_rank")}
-    return rows.withColumns(ranks | {"cite": T.cite(parts)}).select("item_id", "seat", "doc_id", "score", "bm25_rank", "dense_rank", "dense_sim", "anchor_rank", "channels", "cite")
+    ranks = {c: F.col(c).cast("long") for c in ("seat", "bm25_rank", "dense_rank", "anchor_rank", "company_rank")}
+    return rows.withColumns(ranks | {"cite": T.cite(parts)}).select("item_id", "seat", "doc_id", "score", "bm25_rank", "dense_rank", "dense_sim", "anchor_rank", "company_rank", "channels", "cite")
 
 
-@query(
-    f"""with {_DOCVEC}, sm as (select item_id, d.doc_id, lang, round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6) as sim from a, v join documents d on d.doc_id = v.doc_id where lang in ('de', 'fr')),
-    p as (select * from (select *, case lang when 'de' then 0 else 1 end as pos, row_number() over (partition by item_id, lang order by sim desc, doc_id) - 1 as place from sm) where place < 4)
-    select item_id, doc_id, lang, row_number() over (partition by item_id order by place, pos) - 1 as rank from p"""
-)
+@query(f"with {_DOCVEC}, {_COMPANIES} select item_id, doc_id, lang, rank from cc")
 def company_channel(spark, t):
     """Of each named company its best by cosine on the question, dealt in turn."""
-    docs = t("documents").select("doc_id", "lang")
-    vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs, "doc_id")
-    asked = t("benchmark").select("item_id").join(t("embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id").join(_named(spark, t), "item_id")
-    asked = asked.select((F.col("item_id") * 2 + F.col("position")).alias("q"), "lang", "embedding")
-    sims = dense.top(asked, vectors, 4, "q", "doc_id", within=["lang"]).select(F.floor(F.col("q") / 2).cast("long").alias("item_id"), "doc_id", "sim")
-    return retrieve.company_channel(sims.join(docs, "doc_id"), _named(spark, t), 8, "item_id", "doc_id", "lang").withColumn("rank", F.col("rank").cast("long"))
+    chunks = t("documents").select("doc_id", F.col("lang").alias("company"))
+    vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = t("benchmark").select("item_id").join(t("embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    picks = retrieve.company_picks(chunks, vectors, asked, _named(spark, t).withColumnRenamed("lang", "company"), 8, "item_id", "doc_id")
+    return picks.select("item_id", "doc_id", F.col("company").alias("lang"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---------------------------------------------------------------- chunks
@@ -433,12 +454,12 @@ def reuse_plan(spark, t):
     return audit.reuse_plan(docs, docs.where("source <> 'src0'"), "doc_id", "doc_id")
 
 
-@query("with o as (select distinct sha1(text) as h from documents where source <> 'src0'), m as (select distinct sha1(text) as h from documents where sha1(text) not in (select h from o)) select left(h, 2) as part, count(*) as n, sha1(string_agg(h, chr(10) order by h)) as fingerprint from m group by all")
+@query("with o as (select distinct sha1(text) as h from documents where source <> 'src0'), m as (select distinct sha1(text) as h from documents where sha1(text) not in (select h from o)) select left(h, 2) as part, count(*) as n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::bigint)::bigint as sum_{k}" for k in range(5)) + " from m group by all")
 def plan_fingerprint(spark, t):
-    """A fingerprint of the texts that are to be computed, by the first two digits of their hashes."""
+    """A fingerprint of the texts that are to be computed, by the first two digits of their hashes: sums of parts of them, in any order."""
     docs = t("documents")
     todo = audit.reuse_plan(docs, docs.where("source <> 'src0'"), "doc_id", "doc_id").where("reuse is null").select("h").distinct()
-    return todo.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list("h")), "\n")).alias("fingerprint"))
+    return todo.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long")).alias(f"sum_{k}") for k in range(5)])
 
 
 _PAIRS = " union all ".join(
@@ -718,15 +739,14 @@ def title_fields(spark, t):
     return t("documents").select("doc_id", T.report_kind(title).alias("kind"), T.report_year(title).cast("long").alias("year"), T.board(code)["column"].alias("board"), T.safe_name(F.concat_ws("/", "lang", F.concat("source", F.lit("?")))).alias("safe"), T.extractor(path).alias("ext"))
 
 
-@query()
+@query("select source, count(*) as n from (select arg_min(source, doc_id) as source from documents group by sha256(coalesce(text, ''))) group by source")
 def streaming_ingest(spark, t):
-    """Documents read as a stream, each content once, counted by source through micro-batches."""
+    """Documents read as a stream into a table of contents; contents counted by the source of their first document."""
     docs = t("documents")
     root = folder(spark, "ingest")
     landed = docs.inputFiles()[0].rsplit("/", 1)[0]
     pattern = f"{landed}/documents*.parquet" if landed.rsplit("/", 1)[-1] != "documents.parquet" else landed
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(pattern)
-    new = ingest.new_contents(stream)
-    ingest.start(new, lambda batch, no: batch.groupBy("source").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/out/batch={no}"), f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("source").agg(F.sum("n").alias("n"))
+    ingest.start(stream, lambda batch, no: ingest.record(batch, no, f"{root}/contents"), f"{root}/state").awaitTermination()
+    return ingest.recorded(spark, f"{root}/contents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))

@@ -66,13 +66,33 @@ def named_companies(questions: DataFrame, companies: DataFrame, query: str, text
     return found.select(query, "company", "a.alias", (F.row_number().over(order) - 1).alias("position"))
 
 
+def rewrite_votes(index: lexical.Index, vectors: DataFrame, rewrites: DataFrame, query: str, key: str, pool: int) -> list[DataFrame]:
+    """Votes at the weight REWRITE of the BM25 list, and with an `embedding` of the cosine list, of each row of rewrites(query, pos, text[, embedding])."""
+    asked = rewrites.withColumn("__q", F.xxhash64(query, "pos"))
+    found = [lexical.search(index, asked, key, "__q", pool)]
+    if "embedding" in rewrites.columns:
+        found.append(dense.top(asked, vectors, pool, "__q", key))
+    whose = asked.select("__q", query).distinct()
+    return [fusion.votes(ranked.join(whose, "__q"), query, key, fusion.REWRITE) for ranked in found]
+
+
+def company_picks(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, named: DataFrame, k: int, query: str, key: str) -> DataFrame:
+    """The company channel of asked(query, embedding): cosines are taken within each named company alone."""
+    pairs = asked.join(named, query).withColumn("__q", F.xxhash64(query, "company"))
+    own = vectors.join(chunks.select(key, "company"), key)
+    sims = dense.top(pairs.select("__q", "company", "embedding"), own, k, "__q", key, within=["company"])
+    sims = sims.join(pairs.select("__q", query, "company"), "__q").select(query, key, "company", "sim")
+    return company_channel(sims, named, k, query, key)
+
+
 def search(
-    chunks: DataFrame, index: lexical.Index, vectors: DataFrame, questions: DataFrame, asked: DataFrame, named: DataFrame, query: str = "query_id", key: str = "row", doc: str = "doc_id", seq: str = "seq", settings: Settings = Settings(), anchors: DataFrame | None = None, numbered: bool = True, store: Store | None = None
+    chunks: DataFrame, index: lexical.Index, vectors: DataFrame, questions: DataFrame, asked: DataFrame, named: DataFrame, query: str = "query_id", key: str = "row", doc: str = "doc_id", seq: str = "seq", settings: Settings = Settings(), anchors: DataFrame | None = None, numbered: bool = True, store: Store | None = None, rewrites: DataFrame | None = None
 ) -> DataFrame:
     """Seated hits of each question: the chunk's columns, score, channels, ranks of channels (null: no vote), seat.
 
-    questions(query, text), asked(query, embedding), named(query, company, position), vectors(key, embedding).
-    With a store, the channels' pools are written once. Neighbours go first, then the document cap, from which anchored hits are safe, then seats are dealt.
+    questions(query, text), asked(query, embedding), named(query, company, position), vectors(key, embedding). Channels
+    are BM25, cosine, anchors(query, anchor), the named companies, and BM25 and cosine of rewrites(query, pos, text[,
+    embedding]). With a store, the channels' pools are written once. Neighbours go first, then the document cap, from which anchored hits are safe, then seats are dealt.
     """
     settings = settings.clamped()
     keep = store.put if store else lambda df, name: df
@@ -83,13 +103,18 @@ def search(
         anchored = keep(anchor_channel(chunks, anchors, bm25, query, key, settings.pool, numbered), "anchored")
         lists.append(fusion.votes(anchored, query, key))
         ranks = anchored.select(query, key, F.col("rank").alias("anchor_rank"), "anchor_hits")
+    own = keep(company_picks(chunks, vectors, asked, named, settings.k, query, key), "companies")
+    lists.append(fusion.votes(own, query, key))
+    if rewrites is not None:
+        lists += rewrite_votes(index, vectors, rewrites, query, key, settings.pool)
     fused = fusion.fuse(lists, query, key)
     hits = fused.join(bm25.select(query, key, F.col("rank").alias("bm25_rank"), "matched"), [query, key], "left")
     hits = hits.join(near.select(query, key, F.col("rank").alias("dense_rank"), F.col("sim").alias("dense_sim")), [query, key], "left")
     hits = hits.join(ranks, [query, key], "left") if anchors is not None else hits.withColumns({"anchor_rank": F.lit(None).cast("int"), "anchor_hits": F.lit(None).cast("long")})
+    hits = hits.join(own.select(query, key, F.col("rank").alias("company_rank")), [query, key], "left")
     hits = hits.join(chunks, key)
     hits = keep(hits, "hits")
     hits = select.drop_adjacent(hits, query, doc, seq, "rank", settings.gap)
     hits = select.cap_documents(hits, query, doc, "rank", settings.cap, F.col("anchor_rank").isNotNull())
     seated = select.seat(hits, named, settings.k, query, key)
-    return seated.withColumn("channels", T.channels(F.col("bm25_rank"), F.col("dense_rank"), F.col("anchor_rank"), F.lit(None)))
+    return seated.withColumn("channels", T.channels(F.col("bm25_rank"), F.col("dense_rank"), F.col("anchor_rank"), F.col("company_rank")))

@@ -9,7 +9,7 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-STOP = ", ".join(map(quoted, [*T.STOP, *T.STOP_CJK]))
+STOP = ", ".join(map(quoted, T.STOP))
 
 
 def tokens(name: str, table: str, key: str, text: str = "text") -> str:
