@@ -53,3 +53,13 @@ def spread_sample(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     numbered = rows.withColumn("__at", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
     step = lambda at: F.floor((at * n + F.col("__n") - 1) / F.col("__n"))
     return numbered.where((F.col("__n") <= n) | (F.floor(step(F.col("__at")) * F.col("__n") / n) == F.col("__at")) & (step(F.col("__at")) < n)).drop("__at", "__n")
+
+
+def header_changes(rows: DataFrame, old: str, new: str, credible: str) -> DataFrame:
+    """(class, n, share) of tables by the header row that an old and a new rule pick (null: none) and whether the old one could be a header.
+
+    A: the same row; D: it was one and is lost; E: it was one and is another now; B: it was none and one is found; C: none either way.
+    """
+    kind = F.when(F.col(credible), F.when(F.col(old) == F.col(new), "A").when(F.col(new).isNull(), "D").otherwise("E")).otherwise(F.when(F.col(new).isNotNull(), "B").otherwise("C"))
+    counts = rows.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__all")))).select("class", "n", F.round(F.col("n") / F.col("__all"), 6).alias("share"))  # one row

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..operators.fusion import REWRITE
@@ -63,13 +64,16 @@ def answer(questions: DataFrame, hits: DataFrame, model: Callable[[str, list[str
     seats = hits.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("seat", "text"))).alias("p")).select(query, F.col("p.text").alias("passages"))
     rows = questions.select(query, F.col("text").alias("q")).join(seats, query, "left")
 
-    @F.udf("string")
-    def ask(q, passages):
-        if not (said := model(q, list(passages or []))):
-            raise ValueError(f"no answer to {q!r}")
-        return said
+    def ask(batches):
+        for frame in batches:
+            said = [model(q, list(p) if p is not None else []) for q, p in zip(frame["q"], frame["passages"])]
+            for q, text in zip(frame["q"], said):
+                if not text:
+                    raise ValueError(f"no answer to {q!r}")
+            yield frame[[query, "q"]].assign(ans=said)
 
-    return rows.select(query, "q", ask("q", "passages").alias("ans"))
+    rows = rows.select(query, "q", "passages")
+    return rows.mapInPandas(ask, StructType([rows.schema[query], rows.schema["q"], StructField("ans", StringType())]))
 
 
 def settings(allowed: Iterable[str], path: str | None = None) -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -504,17 +504,22 @@ def crosscheck_versions(spark, t):
 
 # ---------------------------------------------------------------- ledgers
 
-# RE2 has no lookaround, so numbers have no SQL; tests hold them against cases worked out by hand.
-
-
-@query()
+@query(f"select doc_id, number, count(*) as n from (select doc_id, unnest({S.numbers('text')}) as number from documents) group by all")
 def value_numbers(spark, t):
     """Numbers that claim a fact, with the documents that have them."""
     rows = t("documents").select("doc_id", F.explode(T.value_numbers(F.col("text"))).alias("number"))
     return rows.groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_KEYS = f"list_transform({S.numbers('q')}, lambda z: replace(z, ',', ''))"
+
+
+@query(
+    f"""with {_BM25}, h as (select item_id as query_id, rank as seat, d.text as text from bm join documents d using (doc_id) where rank < 10), said as (select h.query_id, h.text as ans, b.text as q from h join benchmark b on b.item_id = h.query_id where seat = 0),
+    n as (select distinct query_id, number from (select query_id, {_KEYS} as asked, unnest({S.numbers('ans')}) as number from said) where not list_contains(asked, replace(number, ',', ''))),
+    f as (select distinct query_id, seat + 1 as seat, replace(x, ',', '') as key from (select query_id, seat, unnest({S.numbers('text')}) as x from h))
+    select n.query_id, number, coalesce(string_agg(seat::varchar, ',' order by seat), '') as seats from n left join f on f.query_id = n.query_id and f.key = replace(number, ',', '') group by all"""
+)
 def number_attribution(spark, t):
     """The first hit of each question as its answer: the seats of the first ten hits that have each of its numbers."""
     hits = _bm25(t).where("rank < 10").join(t("documents").select("doc_id", "text"), "doc_id").select(F.col("item_id").alias("query_id"), F.col("rank").alias("seat"), "text")
@@ -531,11 +536,16 @@ def _specs(t) -> DataFrame:
     )
 
 
+def _seen(t) -> DataFrame:
+    return _bm25(t).where("rank < 10").join(t("documents"), "doc_id").select(F.col("item_id").alias("n"), "text", F.col("lang").alias("company"), "source")
+
+
+def _library() -> Column:
+    return F.when(F.col("source").isin("src0", "src1", "src2", "src3"), "A").otherwise("B")
 
 
 def _recall(t) -> DataFrame:
-    hits = _bm25(t).where("rank < 10").join(t("documents"), "doc_id").select(F.col("item_id").alias("n"), "text", F.col("lang").alias("company"), "source")
-    return judge.recall(_specs(t), hits, lib=F.when(F.col("source").isin("src0", "src1", "src2", "src3"), "A").otherwise("B"))
+    return judge.recall(_specs(t), _seen(t), lib=_library())
 
 
 _MUST = f"""with {_BM25}, sp as (select item_id as n, unnest(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: length(w) >= 4)[:2]) as w from benchmark),
@@ -574,14 +584,20 @@ def criterion_breadth(spark, t):
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-@query()
+@query(
+    rf"""with t as (select a.conv_id * 1000 + a.turn as query_id, u.text as q, a.text as ans from conversations a join conversations u on u.conv_id = a.conv_id and u.turn + 1 = a.turn where a.role = 'assistant' and u.role = 'user'),
+    o as (select query_id, count(distinct number) as n from (select query_id, {_KEYS} as asked, unnest({S.numbers('ans')}) as number from t) where not list_contains(asked, replace(number, ',', '')) group by query_id),
+    b as (select query_id, regexp_replace(q, '\s+', '', 'g') as q, regexp_replace(ans, '\s+', '', 'g') as a, regexp_replace(split_part(q, ' ', 1), '\s+', '', 'g') as w from t),
+    m as (select query_id, (not contains(case when q = '' then a else replace(a, q, '') end, w))::bigint as n_missing from b)
+    select query_id, coalesce(n, 0) = 0 and n_missing = 0 as ok_answer, coalesce(n, 0) as n_orphans, n_missing from m left join o using (query_id)"""
+)
 def answer_judge(spark, t):
     """Verdicts on assistant turns as answers to the user turn before them, with that turn as their only seat."""
     turns = t("conversations")
     asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
     said = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "q", F.col("text").alias("ans"), F.array(F.get(F.split("q", " "), 0)).alias("must_ans"), F.lit(False).alias("must_fail"))
     hits = said.select("query_id", F.lit(0).alias("seat"), F.col("q").alias("text"), F.lit("").alias("company"), F.lit("").alias("source"))
-    return judge.judge_answers(said, hits).select("query_id", "ok_answer", F.size("orphans").alias("n_orphans"), F.size("missing").alias("n_missing"))
+    return judge.judge_answers(said, hits).select("query_id", "ok_answer", F.size("orphans").cast("long").alias("n_orphans"), F.size("missing").cast("long").alias("n_missing"))
 
 
 # ---------------------------------------------------------------- sources
@@ -612,12 +628,18 @@ def txt_paragraphs(spark, t):
     return plain.paragraphs(t("documents")).withColumn("block", F.col("block").cast("long"))
 
 
-@query()
+_SPACE = "[\\s\\x0B\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+@query(
+    f"""with s as (select doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as x, trim(regexp_replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), chr(8203), ''), '{_SPACE}', ' ', 'g')) as plain from documents where text is not null)
+    select doc_id, 1::bigint as block, case when length(plain) >= 2 then plain else '<R><SECTION><P>' || replace(x, chr(10), '</P><P>') || '</P></SECTION></R>' end as text from s"""
+)
 def xml_sections(spark, t):
     """Documents wrapped as XML sections of paragraphs, read back."""
     safe = F.regexp_replace(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     body = F.concat(F.lit("<R><SECTION><P>"), F.array_join(F.split(safe, "\n"), "</P><P>"), F.lit("</P></SECTION></R>"))
-    return plain.sections(t("documents").select("doc_id", body.alias("xml")))
+    return plain.sections(t("documents").select("doc_id", body.alias("xml"))).withColumn("block", F.col("block").cast("long"))
 
 
 @query("with r as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) select user_id, event_type, event_id, value from r where k = 1")

@@ -24,11 +24,12 @@ class Settings(NamedTuple):
         return self._replace(k=max(1, min(self.most, self.k)))
 
 
-def anchor_channel(chunks: DataFrame, anchors: DataFrame, bm25: DataFrame, query: str, key: str, pool: int = fusion.POOL, numbered: bool = True) -> DataFrame:
+def anchor_channel(chunks: DataFrame, anchors: DataFrame, bm25: DataFrame, query: str, key: str, pool: int = fusion.POOL, numbered: bool = True, scope: DataFrame | None = None) -> DataFrame:
     """(query, key, anchor_hits, rank): chunks with rows whose label ends with an anchor of anchors(query, anchor).
 
     Lines with a separator are found first, and labels taken once a chunk; ranked by hits, then by BM25 rank (those
-    without one as `pool`), then key. numbered: rows need a digit.
+    without one as `pool`), then key. numbered: rows need a digit. scope(query, company): where a question names companies,
+    only chunks whose company has one of these names count.
     """
     rows = chunks.where(F.contains("text", F.lit(T.ROW_SEPARATOR))).select(key, F.explode(F.split("text", "\n")).alias("line"))
     rows = rows.where(F.contains("line", F.lit(T.ROW_SEPARATOR)) & (F.col("line").rlike("[0-9]") if numbered else F.lit(True))).select(key, T.row_label(F.col("line")).alias("label"))
@@ -37,6 +38,9 @@ def anchor_channel(chunks: DataFrame, anchors: DataFrame, bm25: DataFrame, query
     ends = F.transform(F.filter("__l", lambda n: n <= F.length("label")), lambda n: F.right(F.col("label"), n))
     rows = rows.crossJoin(F.broadcast(lengths)).select(key, F.explode(ends).alias("anchor"))
     hits = rows.join(anchors, "anchor").groupBy(query, key).agg(F.count(F.lit(1)).alias("anchor_hits"))
+    if scope is not None:
+        own = hits.join(chunks.select(key, "company"), key).join(scope.select(query, F.col("company").alias("__c")), query, "left")
+        hits = own.where(F.col("__c").isNull() | F.contains(F.coalesce("company", F.lit("")), F.col("__c"))).select(query, key, "anchor_hits").distinct()
     hits = hits.join(bm25.select(query, key, F.col("rank").alias("__b")), [query, key], "left")
     best = Window.partitionBy(query).orderBy(F.desc("anchor_hits"), F.coalesce("__b", F.lit(pool)), key)
     return hits.select(query, key, "anchor_hits", (F.row_number().over(best) - 1).alias("rank"))

@@ -41,3 +41,9 @@ def dense(name: str, asked: str, query: str, vectors: str, key: str, k: int, whe
     """CTEs that end in name(query, key, sim, rank); asked has (query, q), vectors (key, v), as double lists."""
     return f"""{name}_s as (select {query}, {key}, round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6) as sim from {asked} a, {vectors} b where {where}),
     {name} as (select * from (select *, row_number() over (partition by {query} order by sim desc, {key}) - 1 as rank from {name}_s) where rank < {k})"""
+
+
+def numbers(of: str) -> str:
+    """The list of fact-like numbers of a text. RE2 looks neither ahead nor back: what stands in front is consumed, and behind is a word's end, for which underscores become spaces."""
+    found = f"regexp_extract_all(replace(coalesce({of}, ''), '_', ' '), '(?:^|[^0-9A-Za-z.])([0-9]+(?:,[0-9]{{3}})*(?:\\.[0-9]+)?)\\b', 1)"
+    return f"list_filter({found}, lambda z: contains(z, ',') or contains(z, '.') or length(z) >= 5)"

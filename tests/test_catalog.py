@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.plans import catalog
+from quillon.plans import catalog, parts  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
