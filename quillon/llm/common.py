@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -58,6 +59,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- Arrow batches
 
+#: glibc's; other C libraries have none.
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def pieces_of(batch: pa.RecordBatch, column: str, limit: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each; a row is never split."""
@@ -127,18 +131,44 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", start: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow of a function from a slice of a batch to a batch."""
+def give_back() -> None:
+    """Returns what Arrow's pool and malloc hold of freed memory to the system: workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back before a task, when the last one's function is gone, and after it."""
+
+    def task(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def arrow_map(
+    df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", start: Callable[[], None] | None = None, end: Callable[[], None] | None = None
+) -> DataFrame:
+    """mapInArrow of a function from a slice of a batch to a batch; start and end run before and after each task."""
 
     def run(batches):
         if start:
             start()
-        for batch in batches:
-            for piece in pieces_of(batch, text):
-                if (out := each(piece)) is not None and out.num_rows:
-                    yield out
-
-    return df.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for piece in pieces_of(batch, text):
+                    if (out := each(piece)) is not None and out.num_rows:
+                        yield out
+        finally:
+            if end:
+                end()
+
+    return df.mapInArrow(tidy(run), schema)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:

@@ -186,6 +186,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, threshol
         _scores.clear()
         _weights[:] = shared.value.weights.tolist()
 
+    def end():
+        _scores.clear()
+        _weights.clear()
+
     def each(batch):
         index, forms, sentence, offsets = sentences_of(texts_of(batch, "text"))
         trim(_scores, KEPT_WORDS)
@@ -212,4 +216,4 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, threshol
         return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, *added])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{k} {v}" for k, v in added.items()])
-    return arrow_map(docs, each, schema, start=start)
+    return arrow_map(docs, each, schema, start=start, end=end)
