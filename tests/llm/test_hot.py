@@ -189,3 +189,27 @@ def test_long_harmless_texts(spark):
     long = ". ".join(plain() for _ in range(200_000)) + "."
     got = {r.doc_id: r for r in toxicity.score_documents(spark, spark.createDataFrame([(1, long), (2, long + " you scum here.")], "doc_id long, text string"), model).collect()}
     assert got[1].predicted == 0 and got[2].predicted == 1 and got[1].n_sentences == 200_000
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """Before a task and after it, also where its rows are not all asked for."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("back"))
+    run = common.tidy(lambda batches: (2 * x for x in batches))
+    assert list(run(iter([1, 2, 3]))) == [2, 4, 6] and len(calls) == 2
+    some = run(iter([1, 2, 3]))
+    assert next(some) == 2 and len(calls) == 3
+    some.close()
+    assert len(calls) == 4
+
+
+def test_start_and_end_of_a_task(spark):
+    """Each task starts and ends its function once; rows are those of the batches."""
+    seen = []
+
+    def each(batch):
+        return batch if seen == ["start"] else None
+
+    rows = spark.createDataFrame([(k, "a b") for k in range(50)], "doc_id long, text string").repartition(4)
+    out = common.arrow_map(rows, each, "doc_id long, text string", start=lambda: seen.append("start"), end=seen.clear)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(50))
