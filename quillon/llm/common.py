@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker handles at a time.
-TEXT_BLOCK = 6 << 20
+#: Bytes of text that a Python worker handles at a time, and that it tokenizes at a time: tokenizing takes some 50 bytes
+#: for each of them.
+TEXT_BLOCK, TOKEN_BLOCK = 6 << 20, 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -152,18 +153,23 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def arrow_map(
-    df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", start: Callable[[], None] | None = None, end: Callable[[], None] | None = None
+    df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", start: Callable[[], None] | None = None, end: Callable[[], None] | None = None, block: int = TEXT_BLOCK
 ) -> DataFrame:
-    """mapInArrow of a function from a slice of a batch to a batch; start and end run before and after each task."""
+    """mapInArrow of a function from a slice of a batch to a batch; start and end run before and after each task.
+
+    Slices have about `block` bytes of text. After each, what it held goes back to the system.
+    """
 
     def run(batches):
         if start:
             start()
         try:
             for batch in batches:
-                for piece in pieces_of(batch, text):
+                for piece in pieces_of(batch, text, block):
                     if (out := each(piece)) is not None and out.num_rows:
                         yield out
+                    out = piece = None
+                    give_back()
         finally:
             if end:
                 end()

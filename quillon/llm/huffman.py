@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LEAST, Scratch, arrow_map, bucket_of, id_bounds, ragged, repeated_ids, texts_of
+from .common import LEAST, TOKEN_BLOCK, Scratch, arrow_map, bucket_of, id_bounds, ragged, repeated_ids, texts_of
 from .wordbpe import WordEncoder
 
 MAGIC, VERSION = b"QHUF", 1
@@ -182,7 +182,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         pairs = np.column_stack((used, counts[used])).astype("<u4").tobytes()
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), packed.cast(pa.binary()), pa.array([pairs] + [None] * (len(n) - 1), pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary, counts binary")
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary, counts binary", block=TOKEN_BLOCK)
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, ragged, texts_of
+from .common import TOKEN_BLOCK, Scratch, arrow_map, ragged, texts_of
 from .wordbpe import WordEncoder
 
 #: Pieces of one length that are ranked together.
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
             out["ids"] = pa.array([data[4 * a : 4 * (a + k)] for a, k in zip(low.tolist(), length.tolist())], pa.binary())
         return pa.RecordBatch.from_pydict(out)
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids, block=TOKEN_BLOCK)
 
 
 def plan(counts: dict[int, int], capacity: int, linear: float, quadratic: float, spare: float = SPARE) -> np.ndarray:

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from .common import Known, bytes_of, changes, ragged, runs_of
 
-#: Distinct parts that a worker keeps between batches.
-KEPT_PARTS = 700_000
+#: Distinct parts that a worker keeps between batches: some 200 bytes each.
+KEPT_PARTS = 400_000
 #: White space, printable ASCII and Latin-1 letters: one code point is one letter, NFC and lower-casing act on each alone.
 PLAIN = r"^[\t\n\v\f\r -~À-ÖØ-öø-ÿ]*$"
 #: Fixed value: the pre-tokenizer that _cut restates.

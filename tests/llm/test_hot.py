@@ -4,6 +4,9 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -213,3 +216,48 @@ def test_start_and_end_of_a_task(spark):
     rows = spark.createDataFrame([(k, "a b") for k in range(50)], "doc_id long, text string").repartition(4)
     out = common.arrow_map(rows, each, "doc_id long, text string", start=lambda: seen.append("start"), end=seen.clear)
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(50))
+
+
+HELD = """
+import re, sys, threading, time
+import numpy as np, public_tokenizers, pyarrow as pa
+from quillon.llm import huffman, packing
+
+class Rows:  # stands for a table: the task's function is taken as it is
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, task, schema):
+        return task
+
+path, rng, most = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(5), [0]
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+
+def watch():
+    while True:
+        most[0] = max(most[0], held())
+        time.sleep(0.005)
+
+def batches():
+    for k in range(3):
+        words = rng.integers(0, 26**4, 2_000_000)
+        letters = (words[:, None] // 26 ** np.arange(4) % 26 + 97).astype(np.uint8)
+        flat = np.concatenate((letters, np.full((len(words), 1), 32, np.uint8)), 1).tobytes().decode()
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": [flat[2000 * i : 2000 * i + 2000] for i in range(5000)]})
+
+task = packing.pieces(Rows(), path, 1, 2048) if sys.argv[1] == "packing" else huffman.token_ids(Rows(), path, 2)
+ready = list(batches())
+threading.Thread(target=watch, daemon=True).start()
+before = held()
+rows = sum(b.num_rows for b in task(iter(ready)))
+print(rows, most[0] - before)
+"""
+
+
+@pytest.mark.parametrize("query", ["packing", "token ids"])
+def test_a_task_that_tokenizes_holds_little(query):
+    """30 MB of text with over 400,000 distinct words: what a worker takes on top of it while it encodes."""
+    out = subprocess.run([sys.executable, "-c", HELD, query], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True).stdout
+    rows, most = map(int, out.split())
+    assert rows >= 15_000 and most < 190
