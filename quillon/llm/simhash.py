@@ -83,8 +83,9 @@ class Trees:
     """
 
     def __init__(self, fps: np.ndarray, nodes: np.ndarray, unit: np.ndarray):
-        """fps: all fingerprints; nodes: those in trees, ordered by unit; unit: the unit of each node, 0 and up."""
-        self.fps = fps
+        """fps: all fingerprints, one word or a row of words each; nodes: those in trees, ordered by unit; unit: the unit of each node, 0 and up."""
+        self.fps, self.words = fps, 1 if fps.ndim == 1 else fps.shape[1]
+        self.bits = BITS * self.words
         units, first = np.unique(unit, return_index=True)
         self.root = np.full(int(unit.max()) + 1 if len(unit) else 0, -1, np.int64)
         self.root[units] = nodes[first]
@@ -93,7 +94,7 @@ class Trees:
         todo, above = nodes[rest], self.root[unit[rest]]
         keys, children = [], []
         while len(todo):
-            key = above * (BITS + 1) + np.bitwise_count(fps[todo] ^ fps[above])
+            key = above * (self.bits + 1) + self.apart(todo, above)
             got, first, back = np.unique(key, return_index=True, return_inverse=True)
             child = todo[first]
             keys.append(got)
@@ -105,23 +106,28 @@ class Trees:
         order = np.argsort(key)
         self.key, self.child = key[order], child[order]
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which fingerprints differ."""
+        d = np.bitwise_count(self.fps[a] ^ self.fps[b])
+        return d.astype(np.int64) if d.ndim == 1 else d.sum(1, dtype=np.int64)
+
     def within(self, probes: np.ndarray, unit: np.ndarray, radius: int):
         """Yields (probe, node) arrays of fingerprints within the radius, following only edges within it of the node's distance."""
         at = self.root[unit]
         stack = [(probes[at >= 0], at[at >= 0])]
         while stack:
             probe, node = stack.pop()
-            if len(probe) > FRONTIER:
+            if len(probe) * self.words > FRONTIER:
                 half = len(probe) // 2
                 stack += [(probe[half:], node[half:]), (probe[:half], node[:half])]
                 continue
-            d = np.bitwise_count(self.fps[probe] ^ self.fps[node]).astype(np.int64)
+            d = self.apart(probe, node)
             hit = (d <= radius) & (probe != node)
             if hit.any():
                 yield probe[hit], node[hit]
-            base = node * (BITS + 1)
+            base = node * (self.bits + 1)
             low = np.searchsorted(self.key, base + np.maximum(d - radius, 0))
-            wide = np.searchsorted(self.key, base + np.minimum(d + radius, BITS), "right") - low
+            wide = np.searchsorted(self.key, base + np.minimum(d + radius, self.bits), "right") - low
             if total := int(wide.sum()):
                 ends = np.cumsum(wide)
                 at = np.arange(total) + np.repeat(low - (ends - wide), wide)

@@ -1,11 +1,11 @@
 """SimHash near-duplicates of whole texts: five-word shingles, links where their sets have a Jaccard likeness of 0.8 or more.
 
-Texts that are as like as that differ in up to RADIUS bits of their fingerprints, too many for shards by blocks of bits.
-A shard here is a band: the texts that agree in some minima of hashes over their shingles. Each shard is a BK-tree of
-fingerprints whose edges are followed within the radius; every pair found there that verified links do not already join
-is verified on the shingles themselves. So a link is never wrong. One is missed where no band agrees, at a likeness of
-0.8 with a chance of (1 - 0.8 ** 5) ** 36, below one in a million, or where the radius is passed: bits differ with a
-chance of 0.15, of 0.19 in texts of a few shingles, so with a chance of about one in a hundred thousand at worst.
+Texts that are as like as that differ in about 0.15 of the bits of their fingerprints, 0.19 where they have a few
+shingles. So fingerprints of 256 bits are looked up: no agreement on blocks is certain at that distance, and a shard is
+the fingerprints that agree on some chosen bits, one shard for each of many choices (plan_tables). Each shard is a
+BK-tree followed within NEAR bits, and the components of what it finds are groups. In a group, BK-trees of the first
+64 bits are followed within RADIUS, and every pair found there that verified links do not already join is verified on
+the shingles themselves. So a link is never wrong; README has the chance that one is missed.
 """
 
 from __future__ import annotations
@@ -17,17 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, arrow_map, connected_components, groups_of, paired_units, ragged, texts_of, tidy, with_least, words_of
-from .simhash import BITS, Trees
+from .common import BROADCAST_ROWS, Scratch, arrow_map, connected_components, groups_of, lowest, paired_units, ragged, texts_of, tidy, with_least, words_of
+from .simhash import BITS, TREE, Trees
 
 #: Words of a shingle, and bits in which linked texts' fingerprints may differ.
 WIDTH, RADIUS = 5, 26
-#: Bands, and minima in each.
-BANDS, ROWS = 36, 5
-#: Texts of a block of a large band; pairs with one text that meet in a task.
+#: Words of a wide fingerprint, and bits in which linked texts' may differ.
+WORDS, NEAR = 4, 76
+#: Evenly spread fingerprints that a shard holds at most.
+SHARD = 256
+#: Texts of a block of a large group; pairs with one text that meet in a task.
 BLOCK, STAR = 256, 512
-_RNG = np.random.default_rng(8)
-FLIP, TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+FLIP = np.random.default_rng(8).integers(0, 1 << 64, WORDS, np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,26 +67,38 @@ def nodes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The SimHash of each text's set of shingles: a bit is set if over half of them have it; 0 without words."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def fingerprints(h: np.ndarray, offsets: np.ndarray, words: int = 1) -> np.ndarray:
+    """The SimHash of each text's set of shingles: a bit is set if over half of them have it; 0 without words.
+
+    Of several words the first is that of one word; the others are of other hashes of the shingles, a row a text.
+    """
+    out = np.zeros((len(offsets) - 1, words), np.uint64)
     for d, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-        votes, own = np.zeros(BITS, np.int64), np.unique(h[a:b])
-        for k in range(0, len(own), 1 << 16):
-            votes += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out[d] = np.packbits(2 * votes > len(own), bitorder="little").view(np.uint64)[0]
-    return out
+        votes, own = np.zeros(BITS * words, np.int64), np.unique(h[a:b])
+        for k in range(0, len(own), 1 << 14):
+            some = own[k : k + (1 << 14)]
+            many = np.column_stack([some, *(_mix(some ^ f) for f in FLIP[1:words])])
+            votes += np.unpackbits(many.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        out[d] = np.packbits(2 * votes > len(own), bitorder="little").view(np.uint64)
+    return out[:, 0] if words == 1 else out
 
 
-def bands(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """BANDS hashes of minima for each text that has words."""
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    for k in range(BANDS if len(starts) else 0):
-        key = np.full(len(starts), k, np.uint64)
-        for j in range(k * ROWS, (k + 1) * ROWS):
-            key = _mix(key * _ODD + np.minimum.reduceat((h ^ FLIP[j]) * TIMES[j], starts))
-        out[:, k] = key
+def plan_tables(n: int) -> np.ndarray:
+    """The bits that each shard's members agree on, a row a choice, for n fingerprints; a few fingerprints are one shard.
+
+    More bits make smaller shards; as many more choices are made as fewer linked texts agree on them.
+    """
+    agree = max(0, (max(n, 1) - 1) // SHARD).bit_length()
+    tables = int(np.ceil(15 / 0.85**agree)) if agree else 1
+    rng = np.random.default_rng(agree)
+    return np.array([rng.choice(BITS * WORDS, agree, replace=False) for _ in range(tables)], np.int64).reshape(tables, agree)
+
+
+def shards(fps: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of each fingerprint its shard for each choice of bits: the choice and those bits."""
+    out = np.repeat(np.arange(len(chosen))[None], len(fps), 0)
+    for bits in chosen.T:
+        out = 2 * out + ((fps[:, bits // BITS] >> (bits % BITS).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -99,16 +112,16 @@ def text_hash(text: str = "text"):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fp, bands): texts of the same words have the same node; bands are empty without words."""
+    """(doc_id, text_hash, node, fp, wide): texts of the same words have the same node; wide has the words of the fingerprint, none without words."""
 
     def each(batch):
         h, offsets = shingles(texts_of(batch, "text"))
-        found = np.ascontiguousarray(bands(h, offsets)).reshape(-1)
-        own = np.where(np.diff(offsets) > 0, BANDS, 0)
-        columns = [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(nodes(h, offsets).view(np.int64)), pa.array(fingerprints(h, offsets).view(np.int64)), _lists(found, own)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "fp", "bands"])
+        fps = fingerprints(h, offsets, WORDS)
+        some = np.diff(offsets) > 0
+        columns = [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(nodes(h, offsets).view(np.int64)), pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64)), _lists(fps[some].reshape(-1), np.where(some, WORDS, 0))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "fp", "wide"])
 
-    return arrow_map(docs.select("doc_id", "text", text_hash().alias("text_hash")), each, "doc_id long, text_hash long, node long, fp long, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text", text_hash().alias("text_hash")), each, "doc_id long, text_hash long, node long, fp long, wide array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -122,6 +135,48 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), each, "node long, shingles array<long>")
 
 
+def _near(whole: pa.Table) -> pa.RecordBatch | None:
+    """Of the units in a sorted table: a forest that spans what fingerprints within NEAR bits join."""
+    keys = np.column_stack([whole.column(c).to_numpy() for c in ("shard", "tree_no", "probe_no")])
+    unit = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(1))))
+    node, is_tree, is_probe = (whole.column(c).to_numpy() for c in ("node", "is_tree", "is_probe"))
+    alone = np.bincount(unit)[unit] == 1
+    at, ask = np.flatnonzero(is_tree & ~alone), np.flatnonzero(is_probe & ~alone)
+    if not len(at) or not len(ask):
+        return None
+    forest = Trees(np.column_stack([whole.column(f"w{k}").to_numpy() for k in range(WORDS)]).view(np.uint64), at, unit[at])
+    forest.root = np.concatenate((forest.root, np.full(int(unit[-1]) + 1 - len(forest.root), -1)))
+    parent = np.arange(len(node))
+    for probe, other in forest.within(ask, unit[ask], NEAR):
+        parent = lowest(parent, probe, other)
+    tied = np.flatnonzero(parent != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[parent[tied]])], names=["a", "b"])
+
+
+def near_groups(reps: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(node, root): the components of the n fingerprints of reps(node, wide) that meet in a shard within NEAR bits; those alone are left out."""
+    chosen = plan_tables(n)
+
+    def each(batches):
+        for batch in batches:
+            if batch.num_rows:
+                fps = batch.column("wide").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("wide"), _lists(shards(fps, chosen).reshape(-1), np.full(len(fps), len(chosen)))], names=["node", "wide", "shards"])
+
+    dealt = scratch.put(reps.where(F.size("wide") > 0).select("node", "wide").mapInArrow(tidy(each), "node long, wide array<long>, shards array<long>"), "dealt")
+    rows = dealt.select("node", F.explode("shards").alias("shard"), *[F.col("wide")[k].alias(f"w{k}") for k in range(WORDS)])
+    by = ["shard", "tree_no", "probe_no"]
+
+    def run(batches):
+        for whole in groups_of(batches, by, 1 << 14):
+            if (out := _near(whole)) is not None and out.num_rows:
+                yield out
+
+    units = paired_units(rows, ["shard"], "node", TREE, scratch, "large")
+    units = units.select(*by, "is_tree", "is_probe", "node", *[f"w{k}" for k in range(WORDS)]).repartition(*by).sortWithinPartitions(*by)
+    return connected_components(units.mapInArrow(tidy(run), "a long, b long").distinct(), "a", "b", scratch, "near")
+
+
 def _verify(whole: pa.Table) -> pa.RecordBatch | None:
     """Of the units in a sorted table: links that join the components of each, each pair of components by one that holds.
 
@@ -171,18 +226,20 @@ def _verify(whole: pa.Table) -> pa.RecordBatch | None:
 
 
 def _stars(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): the links of each band's members with its least one. Pairs with one that has many are dealt to several tasks."""
-    pairs = scratch.put(members.where("node <> low").select("node", "low").distinct(), "pairs")
+    """(a, b): the links of each group's members with its least one, where RADIUS allows them. Pairs with one that has many are dealt to several tasks."""
+    pairs = members.where("node <> low").select("node", "low", "fp")
+    own = members.where("node = low").select("low", F.col("fp").alias("low_fp"))
     counts = pairs.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STAR)
     hot = scratch.put(counts.select("low", F.ceil(F.col("n") / STAR).cast("int").alias("chunks")), "centres")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     chunks = F.coalesce("chunks", F.lit(1))
     left = pairs.join(hot, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks.cast("long")).cast("int"))
-    left = left.select("low", "chunk", "node").join(sets.withColumnRenamed("shingles", "x"), "node")
-    right = pairs.select("low").distinct().join(sets.select(F.col("node").alias("low"), F.col("shingles").alias("y")), "low").join(hot, "low", "left")
-    right = right.select("low", "y", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    left = left.select("low", "chunk", "node", "fp").join(sets.withColumnRenamed("shingles", "x"), "node")
+    right = pairs.select("low").distinct().join(sets.select(F.col("node").alias("low"), F.col("shingles").alias("y")), "low").join(own, "low").join(hot, "low", "left")
+    right = right.select("low", "low_fp", "y", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low_fp"))) <= RADIUS
     like = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    return left.join(right, ["low", "chunk"]).where(like).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return left.join(right, ["low", "chunk"]).where(near & like).select(F.col("node").alias("a"), F.col("low").alias("b"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -192,16 +249,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     components apart. Texts of the same words are one node; null texts and texts without words are node 0. Repeated
     rows stay.
 
-    Members of a band are verified with its least one first. Bands that this leaves in several components become
-    BK-trees, in blocks; pairs never leave a task, which sends links that join components.
+    Shards of wide fingerprints make groups (near_groups). Members of a group are verified with its least one first.
+    Groups that this leaves in several components become BK-trees, in blocks; pairs never leave a task, which sends
+    links that join components.
     """
     scratch = Scratch(spark, "texts")
     rows = scratch.put(sketches(docs), "rows")
-    reps = scratch.put(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "reps")
-    keys = reps.select("node", "fp", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
-    shared = shared.groupBy("n", "low", "high", "x").agg(F.min("band").alias("band"))  # bands of the same members are one
-    members = scratch.put(keys.join(scratch.put(shared.select("band", "low"), "shared"), "band").select("band", "low", "node", "fp"), "members")
+    reps = scratch.put(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "reps")
+    n = reps.count()
+    groups = near_groups(reps, n, scratch)
+    members = scratch.put(reps.select("node", "fp").join(groups, "node").select(F.col("root").alias("band"), F.col("root").alias("low"), "node", "fp"), "members")
     some = scratch.put(members.select("node").distinct().join(reps.select("node", "least"), "node"), "some")
     found = shingle_sets(docs.join(some.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sets = scratch.put(found.join(some.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
@@ -222,5 +279,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     more = units.mapInArrow(tidy(run), "a long, b long")
     roots = connected_components(edges.union(more), "a", "b", scratch)
     rooted = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = with_least(rooted, "root", "least", "component_id", "node", reps.count(), scratch, "least").select("node", "root", "component_id")
+    found = with_least(rooted, "root", "least", "component_id", "node", n, scratch, "least").select("node", "root", "component_id")
     return rows.select("doc_id", "text_hash", "node").join(found, "node").select("doc_id", "text_hash", "node", "root", "component_id")

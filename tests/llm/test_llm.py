@@ -714,3 +714,28 @@ def test_texts_within_the_radius():
             fps = simhash_texts.fingerprints(np.concatenate((a, b)), np.array([0, n, n + len(b)]))
             worst = max(worst, int(fps[0] ^ fps[1]).bit_count())
         assert worst <= simhash_texts.RADIUS
+
+
+def test_first_links_are_within_the_radius(spark, tmp_path):
+    """Equal shingles alone make no link: the fingerprints are asked first."""
+    members = spark.createDataFrame([(1, 1, 1, 0), (1, 1, 2, 7), (1, 1, 3, -1)], "band long, low long, node long, fp long")
+    sets = spark.createDataFrame([(k, [4, 5, 6]) for k in (1, 2, 3)], "node long, shingles array<long>")
+    got = simhash_texts._stars(members, sets, common.Scratch(spark, "test")).collect()
+    assert [(r.a, r.b) for r in got] == [(2, 1)]
+
+
+def test_shards_of_wide_fingerprints(spark, monkeypatch):
+    """Many small shards group all pairs of a likeness of 0.8, and no unlike texts."""
+    monkeypatch.setattr(simhash_texts, "SHARD", 4)
+    rng, texts = np.random.default_rng(6), []
+    for _ in range(150):
+        h = rng.integers(0, 1 << 62, 200)
+        texts += [h[:180], h[20:]]
+    reps = []
+    for k, h in enumerate(texts):
+        wide = simhash_texts.fingerprints(h.astype(np.uint64), np.array([0, len(h)]), simhash_texts.WORDS)
+        assert wide[0, 0] == simhash_texts.fingerprints(h.astype(np.uint64), np.array([0, len(h)]))[0]
+        reps.append((k, wide[0].view(np.int64).tolist()))
+    assert simhash_texts.plan_tables(300).shape == (47, 7)
+    got = simhash_texts.near_groups(spark.createDataFrame(reps, "node long, wide array<long>"), 300, common.Scratch(spark, "test")).collect()
+    assert {r.node: r.root for r in got} == {k: k - k % 2 for k in range(300)}
