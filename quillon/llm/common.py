@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time, and that it tokenizes at a time: tokenizing takes some 50 bytes
@@ -365,10 +365,13 @@ def salted(rows: DataFrame, per_key: DataFrame, keys: list[str], by: list[str],
 
 
 def with_least(df: DataFrame, key: str, value: str, name: str, by: str, rows: int, scratch: Scratch, table: str) -> DataFrame:
-    """df with `name`, the smallest `value` of its key; minima are pre-aggregated, and a hot key's rows never meet in one task."""
+    """df with `name`, the smallest `value` of its key; a hot key's rows never meet in one task, and its minima are pre-aggregated. Rows without a key go.
+
+    A table of no more than HOT_ROWS rows has no hot key: its rows are shuffled once and get their minima where they lie.
+    """
+    if rows <= HOT_ROWS:
+        return df.where(F.col(key).isNotNull()).withColumn(name, F.min(value).over(Window.partitionBy(key)))
     low = df.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__n"))
-    if rows <= HOT_ROWS:  # no key can be hot
-        return df.join(low.drop("__n"), key)
     left, right = salted(df, scratch.put(low, table), [key], [by], hot_bound(rows))
     return left.join(right, [key, "__salt"]).drop("__salt")
 
@@ -380,8 +383,9 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, nam
     """(node, root): for each node of an edge, the smallest node of its component.
 
     Large-star and small-star rounds: each round sends every neighbour of a node to the smallest one, until the edges
-    are stars. Minima are pre-aggregated and joined back, where the neighbours of a hub are dealt to several tasks.
-    Each round is a written table; the driver sees a count and a checksum of it only.
+    are stars. Where a node can be a hub, minima are pre-aggregated and joined back, and its neighbours are dealt to
+    several tasks; else a round is three shuffles, as the driver keeps account of each task. Each round is a written
+    table; the driver sees a count and a checksum of it only.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, seen = scratch.put(e, f"{name}-0"), None
@@ -390,14 +394,13 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, nam
     while now[0] and now != seen:
         many = 2 * now[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, "u", "v", "m", "v", many, scratch, f"{name}-low-{k}").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = with_least(both, "u", "v", "m", "v", many, scratch, f"{name}-low-{k}").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         if many > HOT_ROWS:
-            large = scratch.put(large, f"{name}-large-{k}")
+            large = scratch.put(large.distinct(), f"{name}-large-{k}")
         low = with_least(large, "u", "v", "m", "v", many, scratch, f"{name}-least-{k}")
-        star = low.select("u", F.col("m").alias("v"))
-        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         k, seen = k + 1, now
-        e = scratch.put(small.union(star).distinct(), f"{name}-{k}")
+        both = low.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))  # low is worked out once
+        e = scratch.put(both.where("u <> v").distinct(), f"{name}-{k}")
         now = mark(e)
         for old in (f"{name}-{k - 1}", f"{name}-low-{k - 1}", f"{name}-large-{k - 1}", f"{name}-least-{k - 1}"):
             scratch.drop(old)

@@ -136,7 +136,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _near(whole: pa.Table) -> pa.RecordBatch | None:
-    """Of the units in a sorted table: a forest that spans what fingerprints within NEAR bits join."""
+    """Of the units in a table sorted by node, too: a forest that spans what fingerprints within NEAR bits join.
+
+    Its edges go to the least node of each tree, so shards that hold the same texts mostly send the same edges.
+    """
     keys = np.column_stack([whole.column(c).to_numpy() for c in ("shard", "tree_no", "probe_no")])
     unit = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(1))))
     node, is_tree, is_probe = (whole.column(c).to_numpy() for c in ("node", "is_tree", "is_probe"))
@@ -173,7 +176,7 @@ def near_groups(reps: DataFrame, n: int, scratch: Scratch) -> DataFrame:
                 yield out
 
     units = paired_units(rows, ["shard"], "node", TREE, scratch, "large")
-    units = units.select(*by, "is_tree", "is_probe", "node", *[f"w{k}" for k in range(WORDS)]).repartition(*by).sortWithinPartitions(*by)
+    units = units.select(*by, "is_tree", "is_probe", "node", *[f"w{k}" for k in range(WORDS)]).repartition(*by).sortWithinPartitions(*by, "node")
     return connected_components(units.mapInArrow(tidy(run), "a long, b long").distinct(), "a", "b", scratch, "near")
 
 
@@ -275,7 +278,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
             if (out := _verify(whole)) is not None:
                 yield out
 
-    units = units.select(*by, "is_tree", "is_probe", "node", "root", "fp", "shingles").repartition(*by).sortWithinPartitions(*by)
+    units = units.select(*by, "is_tree", "is_probe", "node", "root", "fp", "shingles").repartition(*by).sortWithinPartitions(*by, "node")
     more = units.mapInArrow(tidy(run), "a long, b long")
     roots = connected_components(edges.union(more), "a", "b", scratch)
     rooted = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

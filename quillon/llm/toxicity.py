@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG, arrow_map, ragged, texts_of, trim, words_of
+from .common import LONG, arrow_map, give_back, ragged, texts_of, trim, words_of
 
 #: The classifier is fitted on at most this many labelled documents, those of the least hash of doc_id, less those of
 #: more bytes than FIT_BYTES: so what comes to the driver is bounded. All documents are scored whole.
@@ -157,14 +157,17 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, rate: float
 def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Model:
     """Fits on at most `most` documents of docs(doc_id, text) that labels(doc_id, toxic) marks and that are not held out.
 
-    The texts of these come to the driver. Null labels do not count; of several labels of a document the highest does,
+    The texts of these come to the driver, which gives their memory back. Null labels do not count; of several labels of a document the highest does,
     of several texts any one. Without labels, or with labels of one kind, every document scores near zero.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(some), "doc_id")
     rows = sorted({r["doc_id"]: r for r in rows.collect()}.values(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], np.array([r["toxic"] > 0 for r in rows], bool))
+    model = fit([r["text"] for r in rows], np.array([r["toxic"] > 0 for r in rows], bool))
+    del rows
+    give_back()  # the driver lives on, too
+    return model
 
 
 _scores: dict[str, float] = {}

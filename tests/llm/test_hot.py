@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import common, huffman, linededup, secrets, sketch, toxicity, wordbpe
+from quillon.llm import common, huffman, linededup, secrets, simhash_texts, sketch, toxicity, wordbpe
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,6 +50,49 @@ def test_hubs(spark, cold):
     assert got == {n: nodes[parent[at[n]]] for n in nodes}
 
 
+def test_few_shuffles_a_round(spark):
+    """Without hubs a round of the components is three shuffles: the driver keeps account of each task of each."""
+    plans = {}
+
+    class Seen(common.Scratch):
+        def put(self, df, name, codec="zstd"):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+            return super().put(df, name, codec)
+
+    pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)]
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b", Seen(spark, "t")).collect()}
+    assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)}
+    assert len(plans) > 2 and all(n <= 3 for name, n in plans.items() if name != "cc-0"), plans
+
+
+def test_rows_without_a_key(spark):
+    """Small tables lose them as large ones do."""
+    rows = spark.createDataFrame([(1, 5), (1, 3), (2, 8), (None, 1)], "key long, v long")
+    got = sorted((r["key"], r.v, r.m) for r in common.with_least(rows, "key", "v", "m", "v", 4, common.Scratch(spark, "t"), "x").collect())
+    assert got == [(1, 3, 3), (1, 5, 3), (2, 8, 8)]
+
+
+def test_shards_send_edges_to_the_least(spark, monkeypatch):
+    """The same from each shard, so that few edges are left and few rounds join them."""
+    rng, seen = random.Random(4), {}
+    words = [[f"w{rng.randrange(9000)}" for _ in range(300)] for _ in range(40)]
+    texts = [" ".join([*w[:k], f"x{k}", *w[k + 1 :]]) for w in words for k in range(10, 20)]
+    monkeypatch.setattr(simhash_texts, "connected_components", lambda edges, a, b, scratch, name="cc": seen.setdefault(name, edges) and common.connected_components(edges, a, b, scratch, name))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash_texts.near_duplicates(spark, docs).collect()}
+    assert got == {k: k // 10 * 10 for k in range(400)}
+    edges = [(r.a, r.b) for r in seen["near"].collect()]
+    assert all(b < a for a, b in edges) and len(edges) <= 2 * 360
+
+
+def test_the_driver_gives_back_what_fitting_took(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append(1))
+    docs = spark.createDataFrame([(k, "vile" if k % 2 else "kind") for k in range(60)], "doc_id long, text string")
+    toxicity.fit_labels(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert calls
+
+
 def test_window_that_most_documents_share(spark, cold):
     rows = [(k, f"a{k}\nlicense one\nlicense two\nlicense three\nb{k}") for k in range(400)] + [(1000, "\n".join(["x", "y", "z"] * 60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
